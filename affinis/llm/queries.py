@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.functions.ids import pair_key, target_of_pair
-from affinis.llm import splits, stable_sample, target_sample, topn
+from affinis.functions.ids import molecule_key, pair_key, target_of_pair
+from affinis.llm import overlap, splits, stable_sample, target_sample, topn
 from affinis.plans.problems import PAIR_SQL, table
 
 
@@ -43,6 +43,25 @@ def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("key").alias("pair_id"), "stratum", "first_batch")
 
 
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta, fold = table(spark, sf_dir, "final_training_meta"), F.col("cv_fold")
+    return overlap.cross_split_overlap(
+        meta, "row_id", molecule_key(F.col("mol_chembl_id")), F.col("scaffold_smiles"), fold.between(9, 10), fold.between(1, 8), {"fold": fold, "source": F.col("source_version")}
+    )
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _overlaps(spark, sf_dir)
+    return o.select(F.least("eval_row", "train_row").alias("row_id_a"), F.greatest("eval_row", "train_row").alias("row_id_b"))
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per evaluation fold and source: pairs, evaluation rows that overlap, training rows they overlap with."""
+    return _overlaps(spark, sf_dir).groupBy("eval_fold", "eval_source").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("eval_row").alias("n_eval_rows"), F.countDistinct("train_row").alias("n_train_rows")
+    )
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "p4_0_generate_cv_predictions")
     return topn.top_n(log, "compound_id", "target_id", "combined_score", 5, 0.0, 1.0).select("compound_id", "target_id")
@@ -75,6 +94,8 @@ QUERIES = {
     "p1_splits": p1_splits,
     "p1_report": p1_report,
     "p2_sample": p2_sample,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
     "p6_found": p6_found,
     "p6_ranked": p6_ranked,
     "p7_found": p7_found,
