@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinis.functions.ids import molecule_key, pair_key, target_of_pair
-from affinis.llm import overlap, splits, stable_sample, target_sample, topn
+from affinis.llm import bpe, leaks, overlap, splits, stable_sample, target_sample, topn
 from affinis.plans.problems import PAIR_SQL, table
 
 
@@ -89,6 +89,24 @@ def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quarter(spark, sf_dir).rows
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items of each suite, with the documents that hold them."""
+    found = _leaks(spark, sf_dir).join(table(spark, sf_dir, "benchmark").select("item_id", "suite"), "item_id")
+    return found.groupBy("suite", "item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("words").alias("most_words"), F.max(F.col("answer").cast("int")).alias("answer_leaked"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
@@ -101,6 +119,9 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p7_sample": p7_sample,
+    "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_report": p9_report,
 }
 
 _BEST = """
