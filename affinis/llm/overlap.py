@@ -109,6 +109,10 @@ def _write(scaffold: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"canon": canon, "atoms": chain})
 
 
+# Not deterministic for the optimiser: else a filter on the result moves below the aggregate, and runs for every row.
+_write = _write.asNondeterministic()
+
+
 def _count_shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     count = np.zeros(RARITY_BUCKETS, np.int64)
     for d in frames:
@@ -142,6 +146,9 @@ def _almost(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_edit_distance(x.split(" "), y.split(" "), EDITS) <= EDITS for x, y in zip(a, b)], dtype=bool)
 
 
+_almost = _almost.asNondeterministic()  # for the same reason as _write: after the distinct, not before
+
+
 def near_pairs(chains: DataFrame) -> DataFrame:
     """(eval_atoms, train_atoms) of atom chains at most EDITS atoms apart, for chains (atoms, in_eval, in_train).
 
