@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinis.functions.ids import molecule_key, pair_key, target_of_pair
-from affinis.llm import bpe, leaks, overlap, splits, stable_sample, target_sample, topn
+from affinis.llm import bpe, leaks, overlap, pii, splits, stable_sample, target_sample, topn
 from affinis.plans.problems import PAIR_SQL, table
 
 
@@ -107,6 +107,15 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("suite", "item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("words").alias("most_words"), F.max(F.col("answer").cast("int")).alias("answer_leaked"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.kind", "p.found").distinct()
+
+
+def p10_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "masked")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
@@ -122,6 +131,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_report": p9_report,
+    "p10_found": p10_found,
+    "p10_masked": p10_masked,
 }
 
 _BEST = """
