@@ -26,7 +26,7 @@ _HOST = r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 _LOCAL = r"[A-Za-z0-9](?:[A-Za-z0-9._+'-]*[A-Za-z0-9])?"
 EMAIL = [
     re.compile(rf"(?<![\w.+-])({_LOCAL})[ ]?@[ ]?({_HOST})(?![\w-])"),
-    re.compile(rf"(?<![\w.+-])({_LOCAL})\s?[\[(]\s?(?:at|AT|At|arroba)\s?[\])]\s?((?:[A-Za-z0-9-]+\s?(?:\.|[\[(]\s?(?:dot|DOT|punto|point|punkt)\s?[\])])\s?)+[A-Za-z]{{2,}})(?![\w-])"),
+    re.compile(rf"(?<![\w.+-])({_LOCAL})\s?[\[(]\s?(?:at|AT|At|arroba)\s?[\])]\s?((?:[A-Za-z0-9-]+(?:\.|\s?[\[(]\s?(?:dot|DOT|punto|point|punkt)\s?[\])]\s?))+[A-Za-z]{{2,}})(?![\w-])"),
     re.compile(r"(?<![\w.+-])((?:[A-Za-z0-9_+-]+ (?:dot|DOT) )*[A-Za-z0-9][A-Za-z0-9._+-]*) (?:at|AT) ((?:[A-Za-z0-9-]+ (?:dot|DOT) )+[A-Za-z]{2,})(?![\w-])"),
 ]
 PHONE = re.compile(r"(?<![\w.,/+-])(?:\+\s?\d|\(?\d)[\d ()./-]{5,24}\d(?![\w%°]|[.,/-]\d)")
@@ -36,6 +36,7 @@ ADDRESS = [
     re.compile(rf"(?<![\w.,-])(\d{{1,4}} ?[A-Za-z]?,? (?:[A-Z][\w'’.-]+ ){{1,3}}{_STREET}\b(?:(?<=\bSt|\bRd|\bLn)\.|(?<=\bAve)\.|(?<=\bCres)\.)?)"),
     re.compile(r"(?<![\w.,-])(\d{1,4}(?: ?[A-Z](?!\w))?(?: (?:bis|ter|quater))?,? (?:rue|avenue|av\.|boulevard|bd\.?|place|chemin|impasse|allée|quai|cours|Rue|Avenue|Place)(?: (?:de la|de l['’]|de|du|des|d['’]))? ?[A-Z][\w'’-]+(?:[ -][A-Z][\w'’-]+)*)"),
     re.compile(r"(?<![\w-])([A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer|Straße|Weg|Platz|-Straße|-Weg) \d{1,4} ?(?:[a-z](?!\w))?)"),
+    re.compile(r"(?<![\w-])((?:Am|An der|An den|Im|Auf dem|Auf der|Zum|Zur|Unter den|Hinter der) [A-ZÄÖÜ][\w-]+ \d{1,4} ?(?:[a-z](?!\w))?)(?=,? \d{5}\b)"),
     re.compile(r"(?<![\w-])((?:Calle|C/|Avda\.|Avenida|Av\.|Paseo|P\.º|Plaza|Pza\.|Camino|Ronda|Carrera|calle|avenida|paseo|plaza)(?: (?:de la|de los|de las|de|del))? ?[A-ZÁÉÍÓÚ][\w'’-]+(?: [A-Z][\w'’-]+)*,? (?:n\.?\s?º ?|núm\. ?|nº ?)?\d{1,4} ?(?:[a-zA-Z](?!\w))?)"),
 ]
 _FAMILY = r"(?:(?:von|van|de|da|di|del|der|den|zu|la|le|du|ter|mac|Von|Van|De) ){0,2}(?:[OD]['’]|Mc|Mac|Saint-|San-|Ben-)?[A-ZÀ-Þ][a-zß-ÿ]+(?:-[A-ZÀ-Þ][a-zß-ÿ]+)*"
@@ -140,8 +141,12 @@ def labelled(text: str, strict: bool = True) -> list[tuple[str, int, int, str]]:
     strict=False gives every passage of the right form, for checking passages found in another way.
     """
     found: list[tuple[str, int, int, str]] = []
-    for source in (_emails(text), _ids(text), _addresses(text), _phones(text), _names(text, strict)):
-        for kind, a, b, form in source:
+    for source in (_emails, _ids, _addresses, _phones, lambda t: _names(t, strict)):
+        # what is found is blanked, so that a number beside another is not read as one with it
+        body = text
+        for _, a, b, _ in found:
+            body = body[:a] + "\n" * (b - a) + body[b:]
+        for kind, a, b, form in source(body):
             if all(b <= c or d <= a for _, c, d, _ in found):
                 found.append((kind, a, b, form))
     return sorted(found, key=lambda x: x[1])
