@@ -20,6 +20,8 @@ EDITS = 2
 LEVELS = ((7, 21), (3, 9), (1, 3), (0, 0))
 #: Shingle frequencies are counted in this many hash buckets, so the table that orders shingles has a fixed size.
 RARITY_BUCKETS = 1 << 16
+#: Lengths and positions are joined in bands of this width; the evaluation side stands in every band it can reach.
+BAND = 5
 
 _GRAMS = T.ArrayType(T.StructType([T.StructField("gram", T.LongType()), T.StructField("pos", T.ShortType())]))
 
@@ -99,14 +101,22 @@ def prefixes(chains: pd.Series, rarity: np.ndarray) -> list[list[tuple[int, int]
     return out
 
 
-@F.pandas_udf(T.StructType([T.StructField("canon", T.StringType()), T.StructField("atoms", T.StringType())]))
+def _one_letter(atom: str) -> str:
+    """A character for an atom; longer symbols get one from the private planes, where two might meet by chance.
+
+    Such a meeting could only make chains look closer, and the exact check looks at the symbols.
+    """
+    return atom if len(atom) == 1 else chr(0xF0000 + hash_text(atom) % 131_000)
+
+
+@F.pandas_udf(T.StructType([T.StructField("canon", T.StringType()), T.StructField("atoms", T.StringType()), T.StructField("code", T.StringType())]))
 def _write(scaffold: pd.Series) -> pd.DataFrame:
-    canon, chain = [], []
+    rows = []
     for s in scaffold:
         t = canonical_tokens(s)
-        canon.append("".join(t) or None)
-        chain.append(" ".join(atoms(t)) or None)
-    return pd.DataFrame({"canon": canon, "atoms": chain})
+        chain = atoms(t)
+        rows.append(("".join(t) or None, " ".join(chain) or None, "".join(map(_one_letter, chain)) or None))
+    return pd.DataFrame(rows, columns=["canon", "atoms", "code"])
 
 
 # Not deterministic for the optimiser: else a filter on the result moves below the aggregate, and runs for every row.
@@ -150,7 +160,7 @@ _almost = _almost.asNondeterministic()  # for the same reason as _write: after t
 
 
 def near_pairs(chains: DataFrame) -> DataFrame:
-    """(eval_atoms, train_atoms) of atom chains at most EDITS atoms apart, for chains (atoms, in_eval, in_train).
+    """(eval_atoms, train_atoms) of atom chains at most EDITS atoms apart, for chains (atoms, code, in_eval, in_train).
 
     An exact prefix-filter join: the rarest shingles of every chain, as few as EDITS edits cannot all destroy, are
     matched between evaluation (indexed) and training (probing); partners differ by at most EDITS in length and in a
@@ -168,15 +178,15 @@ def near_pairs(chains: DataFrame) -> DataFrame:
         return pd.Series(prefixes(chain, shared.value))
 
     prefix = F.pandas_udf(prefix_of, _GRAMS)
-    indexed = chains.select("*", F.size(F.split("atoms", " ")).alias("len"), F.explode(prefix("atoms")).alias("g")).select("atoms", "in_eval", "in_train", "len", "g.gram", "g.pos")
-    e = indexed.filter("in_eval").select("gram", F.col("atoms").alias("eval_atoms"), F.col("len").alias("e_len"), F.col("pos").alias("e_pos"))
-    t = indexed.filter("in_train").select("gram", F.col("atoms").alias("train_atoms"), F.col("len").alias("t_len"), F.col("pos").alias("t_pos"))
-    found = (
-        e.join(t, "gram")
-        .filter((F.abs(F.col("e_len") - F.col("t_len")) <= EDITS) & (F.abs(F.col("e_pos") - F.col("t_pos")) <= EDITS) & (F.col("eval_atoms") != F.col("train_atoms")))
-        .select("eval_atoms", "train_atoms")
-        .distinct()
-    )
+    indexed = chains.select("*", F.length("code").alias("len"), F.explode(prefix("atoms")).alias("g")).select("atoms", "code", "in_eval", "in_train", "len", "g.gram", "g.pos")
+    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - EDITS) / BAND), F.floor((F.col(c) + EDITS) / BAND)))
+    e = indexed.filter("in_eval").select("gram", F.col("atoms").alias("eval_atoms"), F.col("code").alias("e_code"), F.col("len").alias("e_len"), F.col("pos").alias("e_pos"))
+    e = e.withColumn("len_band", reach("e_len")).withColumn("pos_band", reach("e_pos"))
+    t = indexed.filter("in_train").select("gram", F.col("atoms").alias("train_atoms"), F.col("code").alias("t_code"), F.col("len").alias("t_len"), F.col("pos").alias("t_pos"))
+    t = t.withColumn("len_band", F.floor(F.col("t_len") / BAND)).withColumn("pos_band", F.floor(F.col("t_pos") / BAND))
+    near = (F.abs(F.col("e_len") - F.col("t_len")) <= EDITS) & (F.abs(F.col("e_pos") - F.col("t_pos")) <= EDITS) & (F.col("eval_atoms") != F.col("train_atoms"))
+    # the built-in distance with a bound runs in the join's own stage; few pairs are left for the shuffle and the check
+    found = e.join(t, ["gram", "len_band", "pos_band"]).filter(near).filter(F.levenshtein("e_code", "t_code", EDITS) >= 0).select("eval_atoms", "train_atoms").distinct()
     return found.filter(_almost("eval_atoms", "train_atoms"))
 
 
@@ -212,9 +222,9 @@ def cross_split_overlap(
 
     # scaffolds: distinct writings -> one writing -> atom chains -> overlapping classes
     written = base.filter("__scaffold IS NOT NULL").groupBy("__scaffold").agg(F.max("__eval").alias("in_eval"), F.max(~F.col("__eval")).alias("in_train"))
-    classed = written.select("__scaffold", "in_eval", "in_train", _write("__scaffold").alias("w")).select("__scaffold", "in_eval", "in_train", "w.canon", "w.atoms").filter("atoms IS NOT NULL")
+    classed = written.select("__scaffold", "in_eval", "in_train", _write("__scaffold").alias("w")).select("__scaffold", "in_eval", "in_train", "w.canon", "w.atoms", "w.code").filter("atoms IS NOT NULL")
     classed = cut_lineage(classed)
-    chains = classed.groupBy("atoms").agg(F.max("in_eval").alias("in_eval"), F.max("in_train").alias("in_train"))
+    chains = classed.groupBy("atoms").agg(F.first("code").alias("code"), F.max("in_eval").alias("in_eval"), F.max("in_train").alias("in_train"))
     same = chains.filter("in_eval AND in_train").select(F.col("atoms").alias("eval_atoms"), F.col("atoms").alias("train_atoms"))
     links = cut_lineage(same.unionByName(near_pairs(chains)))
     names = classed.select("__scaffold", "atoms")
