@@ -55,3 +55,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: written to the shared folder, so it outlives any executor."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *key, per_core: int = 3) -> DataFrame:
+    """The same rows in at least ``per_core`` partitions for each core, for work that costs far more than a shuffle.
+
+    Small files of long texts come as few partitions; hashing on columns keeps the placing the same when a task is run
+    again after a loss.  Frames with enough partitions stay as they are.
+    """
+    wanted = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *key)
