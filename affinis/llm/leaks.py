@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from affinis.llm.passage_match import best_passage, longest_common_subsequence, words
-from affinis.session import cut_lineage
+from affinis.session import cut_lineage, spread
 
 #: Hashed vocabulary and latent dimensions: they fix the size of everything that is sent around.
 VOCABULARY, LATENT = 4096, 96
@@ -91,7 +91,8 @@ def _normalised(df: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame({"key": d["key"], "w": _numbers(d["text"])})
 
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("w", T.ArrayType(T.LongType()))])
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).filter("text IS NOT NULL").mapInPandas(run, schema)
+    slim = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).filter("text IS NOT NULL")
+    return spread(slim, "key", "text").mapInPandas(run, schema)
 
 
 def _inverse_frequency(words_df: DataFrame) -> tuple[np.ndarray, int]:
@@ -165,7 +166,7 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
 
     Whole texts are searched.  NULL, empty and blank texts hold nothing; repeated texts are found each; items of fewer
     than LEAST_WORDS words cannot leak; empty tables give no rows.  The items are the stated query set (at most
-    MAX_ITEMS); each task holds their passages and meets the texts in blocks, without a shuffle.
+    MAX_ITEMS); each task holds their passages and meets the texts in blocks.
     """
     spark = docs.sparkSession
     suite = items.select(F.col(item_key).alias("k"), F.col(item_text).alias("t")).filter("t IS NOT NULL").distinct().limit(MAX_ITEMS + 1).toPandas()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from affinis.llm import char_tagger as tagger
 from affinis.llm.pii_rules import KINDS, NAME, _NO_NAME, _TITLES, labelled
+from affinis.session import spread
 
 #: Tag 0 is no information; kind k has the tags 2k+1 (first character) and 2k+2 (the rest).
 N_TAGS = 2 * len(KINDS) + 1
@@ -45,8 +47,6 @@ def _word(rng: random.Random, capital: bool) -> str:
 
 def scrambled(text: str, kind: str, rng: random.Random) -> str:
     """The same kind of information about nobody: invented words, digits and letters of the same shape."""
-    import re
-
     def one(m: re.Match) -> str:
         w = m[0]
         if w.isdigit():
@@ -172,8 +172,6 @@ def tag_texts(weights: dict, texts: list[str], doubt: float = DOUBT) -> list[lis
 
 def _best_name(text: str, a: int, b: int) -> tuple[int, int] | None:
     """The name-shaped passage that fits a tagged one best."""
-    import re
-
     best, fit_of = None, 0.5
     for start in range(max(0, a - 16), b):
         m = NAME.match(text, start)
@@ -226,8 +224,8 @@ def find_pii(df: DataFrame, key: str, text: str, weights: dict[str, np.ndarray]
 
     Whole texts are tagged in overlapping windows and checked exactly.  A NULL text stays NULL with no pieces, empty
     texts stay empty; a text of any length costs in proportion to it; repeated texts have the same pieces each; an
-    empty table gives an empty table; other columns are left out.  No shuffle: texts stay where they are read, only the
-    weights (a hundred kilobytes) are sent.
+    empty table gives an empty table; other columns are left out.  Texts move only where there are fewer partitions than
+    cores can use; the weights (a hundred kilobytes) are broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(weights or load())
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("masked", T.StringType()), T.StructField("pieces", _PIECES)])
@@ -241,4 +239,5 @@ def find_pii(df: DataFrame, key: str, text: str, weights: dict[str, np.ndarray]
                 pieces = [checked(t, s) if t else [] for t, s in zip(texts, spans)]
                 yield pd.DataFrame({key: part[key].to_numpy(), "masked": [None if t is None else masked(t, x) for t, x in zip(texts, pieces)], "pieces": pieces})
 
-    return df.select(F.col(key), F.col(text).cast("string").alias("__text")).mapInPandas(run, schema)
+    slim = df.select(F.col(key), F.col(text).cast("string").alias("__text"))
+    return spread(slim, key, "__text").mapInPandas(run, schema)
