@@ -22,6 +22,8 @@ LEVELS = ((7, 21), (3, 9), (1, 3), (0, 0))
 RARITY_BUCKETS = 1 << 16
 #: Lengths and positions are joined in bands of this width; the evaluation side stands in every band it can reach.
 BAND = 5
+#: Chains up to this length are compared inside the join; longer ones after it, once for each pair.
+SHORT_CHAIN = 256
 
 _GRAMS = T.ArrayType(T.StructType([T.StructField("gram", T.LongType()), T.StructField("pos", T.ShortType())]))
 
@@ -178,16 +180,22 @@ def near_pairs(chains: DataFrame) -> DataFrame:
         return pd.Series(prefixes(chain, shared.value))
 
     prefix = F.pandas_udf(prefix_of, _GRAMS)
-    indexed = chains.select("*", F.length("code").alias("len"), F.explode(prefix("atoms")).alias("g")).select("atoms", "code", "in_eval", "in_train", "len", "g.gram", "g.pos")
+    # rows of the join carry a number for the chain and, for chains of usual length, its code
+    short = F.when(F.length("code") <= SHORT_CHAIN, F.col("code"))
+    indexed = chains.select(F.xxhash64("atoms").alias("id"), short.alias("code"), "in_eval", "in_train", F.length("code").alias("len"), F.explode(prefix("atoms")).alias("g"))
+    indexed = indexed.select("id", "code", "in_eval", "in_train", "len", "g.gram", "g.pos")
     reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - EDITS) / BAND), F.floor((F.col(c) + EDITS) / BAND)))
-    e = indexed.filter("in_eval").select("gram", F.col("atoms").alias("eval_atoms"), F.col("code").alias("e_code"), F.col("len").alias("e_len"), F.col("pos").alias("e_pos"))
+    e = indexed.filter("in_eval").select("gram", F.col("id").alias("e_id"), F.col("code").alias("e_code"), F.col("len").alias("e_len"), F.col("pos").alias("e_pos"))
     e = e.withColumn("len_band", reach("e_len")).withColumn("pos_band", reach("e_pos"))
-    t = indexed.filter("in_train").select("gram", F.col("atoms").alias("train_atoms"), F.col("code").alias("t_code"), F.col("len").alias("t_len"), F.col("pos").alias("t_pos"))
+    t = indexed.filter("in_train").select("gram", F.col("id").alias("t_id"), F.col("code").alias("t_code"), F.col("len").alias("t_len"), F.col("pos").alias("t_pos"))
     t = t.withColumn("len_band", F.floor(F.col("t_len") / BAND)).withColumn("pos_band", F.floor(F.col("t_pos") / BAND))
-    near = (F.abs(F.col("e_len") - F.col("t_len")) <= EDITS) & (F.abs(F.col("e_pos") - F.col("t_pos")) <= EDITS) & (F.col("eval_atoms") != F.col("train_atoms"))
+    near = (F.abs(F.col("e_len") - F.col("t_len")) <= EDITS) & (F.abs(F.col("e_pos") - F.col("t_pos")) <= EDITS) & (F.col("e_id") != F.col("t_id"))
     # the built-in distance with a bound runs in the join's own stage; few pairs are left for the shuffle and the check
-    found = e.join(t, ["gram", "len_band", "pos_band"]).filter(near).filter(F.levenshtein("e_code", "t_code", EDITS) >= 0).select("eval_atoms", "train_atoms").distinct()
-    return found.filter(_almost("eval_atoms", "train_atoms"))
+    close = F.coalesce(F.levenshtein("e_code", "t_code", EDITS) >= 0, F.lit(True))
+    found = e.join(t, ["gram", "len_band", "pos_band"]).filter(near).filter(close).select("e_id", "t_id").distinct()
+    named = lambda side, flag: chains.filter(flag).select(F.xxhash64("atoms").alias(f"{side[0]}_id"), F.col("atoms").alias(f"{side}_atoms"))
+    pairs = found.join(named("eval", "in_eval"), "e_id").join(named("train", "in_train"), "t_id").select("eval_atoms", "train_atoms")
+    return pairs.filter(_almost("eval_atoms", "train_atoms"))
 
 
 def cross_split_overlap(

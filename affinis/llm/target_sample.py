@@ -148,12 +148,12 @@ def target_sample(df: DataFrame, row: str, columns: dict[str, Column], targets:
 
 def _repair(slim: DataFrame, keyed: DataFrame, drawn: DataFrame, dims: list[str], stated: pd.DataFrame, short: dict, sampled: dict) -> DataFrame:
     """Fills categories below their minimum from rows not drawn, and gives back as many rows of richer categories."""
-    lack = F.array(*(F.when(F.col(d) == c, F.struct(F.lit(d).alias("d"), F.lit(c).alias("c"), F.lit(n).alias("lack"))) for (d, c), n in short.items()))
+    lack = F.array(*(F.when(F.col(d) == c, F.struct(F.lit(d).alias("__d"), F.lit(c).alias("__c"), F.lit(n).alias("__lack"))) for (d, c), n in short.items()))
     # rows without a share in another dimension may be needed for a minimum: they come after all rows with a key
     left = slim.join(keyed.select("__row", "__k"), "__row", "left").withColumn("__k", F.coalesce("__k", F.lit(KEY_CAP))).join(drawn.select("__row"), "__row", "left_anti")
     offers = left.withColumn("o", F.explode(F.filter(lack, lambda x: x.isNotNull()))).select("__row", *dims, "__k", "o.*")
-    best = Window.partitionBy("d", "c").orderBy("__k", "__row")
-    added = offers.withColumn("rn", F.row_number().over(best)).filter("rn <= lack").select("__row", *dims, "__k").distinct()
+    best = Window.partitionBy("__d", "__c").orderBy("__k", "__row")
+    added = offers.withColumn("rn", F.row_number().over(best)).filter("rn <= __lack").select("__row", *dims, "__k").distinct()
     n = sum(short.values())
     rich = F.lit(True)
     for t in stated.itertuples():
