@@ -121,6 +121,8 @@ def latent_basis(words_df: DataFrame, items: list[np.ndarray], passes: int = 2)
     the few topics of a small suite would be lost among the texts.
     """
     spark = words_df.sparkSession
+    # every task of a pass sends a product of fixed size: one task a core sends the least
+    words_df = words_df.coalesce(spark.sparkContext.defaultParallelism)
     idf, _ = _inverse_frequency(words_df)
     item_rows = _passages(items, ITEM_WINDOW, ITEM_STEP)[1]
     basis = np.linalg.qr(np.random.default_rng(_SEED).standard_normal((VOCABULARY, LATENT)))[0]
