@@ -37,7 +37,36 @@ QUERIES = {"p3_found": p3_found, "p3_by_type": p3_by_type, "p4_found": p4_found,
 PAIR_SQL = r"nullif(regexp_replace(upper(trim(regexp_replace(pair_id, '\s+', ' ', 'g'))), '^(CHEMBL)[ :_\-]?([0-9]+)[^A-Z0-9]+(CHEMBL)[ :_\-]?([0-9]+)$', '\1\2_\3\4'), '')"
 MOLECULE_SQL = r"upper(regexp_replace(mol_chembl_id, '[\s:_\-]+', '', 'g'))"
 
+_UNIT_FACTORS = {
+    1e-9: "nm nmol/l nmoll-1 nanomolar 10'-9mol/l", 1e-6: "um umol/l umoll-1 micromolar 10^-6m", 1e-3: "mm mmol/l mmoll-1 millimolar 10^-3m",
+    1e-12: "pm pmol/l pmoll-1 picomolar 10^-12m", 1e-15: "fm fmol/l femtomolar", 1.0: "m mol/l moll-1 molar",
+}
+_MASS_FACTORS = {1e-3: "mg/l mgl-1 ug/ml ugml-1 microg/ml", 1e-6: "ng/ml ngml-1 ug/l", 1.0: "g/l mg/ml mgml-1"}
+_TIME_FACTORS = {1: "s sec seconds", 60: "min mins minutes", 3600: "h hr hrs hour hours", 86400: "d day days"}
+
+
+def _factor_sql(factors: dict) -> str:
+    quoted = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words.split())
+    return "CASE " + " ".join(f"WHEN k IN ({quoted(words)}) THEN {f!r}::DOUBLE" for f, words in factors.items()) + " END"
+
+
 ORACLE = {
+    "p3_found": rf"""
+WITH a AS (SELECT activity_id, lower(trim(standard_type, ' ')) AS t, standard_type AS ty, CASE WHEN isnan(standard_value) THEN NULL ELSE standard_value END AS v,
+    coalesce(standard_units, '') AS raw, trim(coalesce(standard_units, ''), ' ') AS u, coalesce(activity_comment, '') AS c, full_mwt AS mw FROM activities),
+b AS (SELECT *, regexp_matches(t, '^(t1/2|half[ -]?life)') AS is_time, regexp_matches(t, '(^|[^a-z])p?(ic50|ec50|ac50|ki|kd|potency)([^a-z]|$)') AS is_conc,
+    CASE WHEN t LIKE '-log%' OR regexp_matches(t, '^p(ic50|ec50|ac50|ki|kd|potency)$') THEN -1 WHEN t LIKE 'log%' THEN 1 ELSE 0 END AS lg,
+    regexp_extract(c, '(?:IC50|EC50|AC50|Ki|Kd|Potency|result)(?: of|:| =|=)? ?([0-9.]+(?:[eE][-+]?[0-9]+)?)(?: x 10\^([-0-9]+))? ?\(?([^,)]+?)\)?(?:,.*)?$', ['n', 'e', 'u']) AS r FROM a),
+d AS (SELECT *, CASE WHEN lg <> 0 THEN NULL WHEN v IS NOT NULL THEN v WHEN r.n <> '' THEN try_cast(r.n AS DOUBLE) * pow(10.0::DOUBLE, coalesce(try_cast(r.e AS INTEGER), 0)) END AS x,
+    CASE WHEN u NOT IN ('', 'unknown', 'n/a') THEN u WHEN v IS NULL THEN r.u
+      WHEN regexp_matches(ty, '(IC50|EC50|AC50|Ki|Kd|Potency).*[A-Za-z]') THEN regexp_extract(ty, '(?:IC50|EC50|AC50|Ki|Kd|Potency)[ _,]*(?:in )?[\[(]?([^\])]+)', 1)
+      ELSE regexp_extract(c, '(?:values in|unit:|all results given as|reported in) (.+?)(?: by the laboratory)?$', 1) END AS unit FROM b WHERE is_time OR is_conc),
+e AS (SELECT *, replace(replace(lower(regexp_replace(unit, '[ .()]', '', 'g')), 'µ', 'u'), 'μ', 'u') AS k FROM d),
+f AS (SELECT *, CASE WHEN is_time THEN x * {_factor_sql(_TIME_FACTORS)}
+    WHEN lg <> 0 THEN CASE WHEN lower(u) IN ('', 'log', '-', 'unitless', 'log m') THEN pow(10.0::DOUBLE, lg * v) * 1e12::DOUBLE END
+    ELSE coalesce(x * {_factor_sql(_UNIT_FACTORS)}, x * {_factor_sql(_MASS_FACTORS)} / mw) * 1e12::DOUBLE END AS y FROM e)
+SELECT activity_id, CASE WHEN is_time THEN 's' ELSE 'pM' END AS common_unit, floor(y + 0.5::DOUBLE)::BIGINT AS common_value FROM f
+WHERE y > 0 AND raw <> CASE WHEN is_time THEN 'hr' ELSE 'nM' END""",
     "p4_found": """
 SELECT target_chembl_id FROM final_training_meta WHERE target_chembl_id IS NOT NULL GROUP BY 1
 HAVING count(*) >= 0.02 * (SELECT count(target_chembl_id) FROM final_training_meta)""",
