@@ -20,10 +20,10 @@ def fit_logistic_by_group(df: DataFrame, by: str, features: list[str], label: st
     """
     spark = df.sparkSession
     d = df.select(by, *(F.col(f).cast("double").alias(f"__x{i}") for i, f in enumerate(features)), F.col(label).cast("double").alias("__y")).dropna()
-    counts = d.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("p")).toPandas()
+    counts = d.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("p")).collect()  # one row a group
     k = len(features) + 1
-    theta = {r[by]: np.zeros(k) for _, r in counts.iterrows() if 0 < r["p"] < r["n"]}
-    sizes = {r[by]: (int(r["n"]), float(r["p"])) for _, r in counts.iterrows()}
+    theta = {r[by]: np.zeros(k) for r in counts if 0 < r["p"] < r["n"]}
+    sizes = {r[by]: (int(r["n"]), float(r["p"])) for r in counts}
     x = [F.lit(1.0), *(F.col(f"__x{i}") for i in range(len(features)))]
     live = set(theta)
     for _ in range(rounds):
