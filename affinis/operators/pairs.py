@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinis.functions.bins import md5_order
+from affinis.session import cut_lineage
 
 
 def hash_bucket(key: Column, buckets: int, seed: str) -> Column:
@@ -27,20 +28,59 @@ def sample_negatives(
     """(pair_id, molecule, target, rank): ``per_positive`` negatives for every positive (molecule, target).
 
     Instead of drawing and rejecting, each positive meets a bounded candidate set: the molecules of ``draws`` hash
-    buckets chosen by the hash of its pair; the positive's own molecule and blocked (molecule, target) are taken out by
-    an anti join, and a fixed shuffle decides.  ``buckets`` sets the candidates per positive: molecules / buckets x
-    draws.  Pairs left with too few candidates are dropped.
+    buckets chosen by the hash of its pair; the positive's own molecule and blocked (molecule, target) are taken out
+    bucket by bucket, and a fixed shuffle decides.  ``buckets`` sets the candidates per positive: molecules / buckets x
+    draws.  Pairs that this leaves short draw again from all molecules that their target allows; a pair is dropped only
+    if fewer than ``per_positive`` of them exist.  A NULL molecule or target makes no pair.
     """
     pair = F.concat_ws("_", F.col(molecule).cast("string"), F.col(target).cast("string"))
+    p = positives.dropna(subset=[molecule, target]).select(F.col(molecule).alias("__pos"), F.col(target), pair.alias("pair_id")).distinct()
+    blocked = blocked.select(molecule, target).dropna()
+    mols = molecules.select(F.col(molecule)).dropna().distinct()
     # A draw may name a bucket twice; distinct keeps its molecules from counting twice.
-    p = positives.select(F.col(molecule).alias("__pos"), F.col(target), pair.alias("pair_id")).distinct()
     asked = p.withColumn("__b", F.explode(F.array_distinct(F.array(*(hash_bucket(F.concat_ws("|", F.col("pair_id"), F.lit(i)), buckets, seed) for i in range(draws))))))
-    pool = molecules.select(F.col(molecule)).distinct().withColumn("__b", hash_bucket(F.col(molecule).cast("string"), buckets, seed))
-    met = asked.join(pool, "__b").filter(F.col(molecule) != F.col("__pos")).join(blocked.select(molecule, target), [molecule, target], "left_anti")
-    w = Window.partitionBy("pair_id").orderBy(md5_order(F.col("pair_id"), F.col(molecule), seed=seed), F.col(molecule))
-    picked = met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_positive)
-    full = picked.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == per_positive).select("pair_id")
-    return picked.join(full, "pair_id", "left_semi").select("pair_id", molecule, target, "rank")
+    bucket = hash_bucket(F.col(molecule).cast("string"), buckets, seed)
+    pool = mols.groupBy(bucket.alias("__b")).agg(F.collect_list(molecule).alias("__pool"))  # a bucket's molecules
+    out = blocked.groupBy(target, bucket.alias("__b")).agg(F.collect_set(molecule).alias("__out"))  # no more than a bucket
+    met = asked.join(out, [target, "__b"], "left").join(pool, "__b", "left")
+    free = F.when(F.col("__out").isNull(), F.col("__pool")).otherwise(F.array_except("__pool", "__out"))
+    met = met.select("pair_id", "__pos", target, F.filter(free, lambda m: m != F.col("__pos")).alias("__free"))
+    order = lambda m: F.struct(md5_order(F.col("pair_id"), m, seed=seed).alias("k"), m.alias("m"))
+    drawn = met.groupBy("pair_id", "__pos", target).agg(F.flatten(F.collect_list("__free")).alias("__free"))  # at most ``draws`` buckets
+    drawn = drawn.select("pair_id", "__pos", target, F.transform(F.slice(F.sort_array(F.transform("__free", order)), 1, per_positive), lambda x: x["m"]).alias("__mols"))
+    drawn = cut_lineage(drawn)
+    full = drawn.filter(F.size("__mols") == per_positive).select("pair_id", target, F.posexplode("__mols").alias("rank", molecule)).select("pair_id", molecule, target, (F.col("rank") + 1).alias("rank"))
+    short = drawn.filter(F.size("__mols") < per_positive).select("pair_id", "__pos", target)
+    return full if short.isEmpty() else full.unionByName(_draw_again(short, mols, blocked, molecule, target, per_positive, seed))
+
+
+def _draw_again(short: DataFrame, molecules: DataFrame, blocked: DataFrame, molecule: str, target: str, per_positive: int, seed: str) -> DataFrame:
+    """Negatives of the pairs that the buckets left short, out of every molecule that their target allows.
+
+    The allowed molecules of a target are numbered in a fixed shuffle (per hash range, as in ``stratified_folds``) and
+    cut into ``per_positive`` + 1 equal stretches, one more than needed as the positive itself may stand among them; the
+    pair takes one of each stretch by its hash.  So a pair costs that many rows however many molecules are allowed.
+    """
+    targets = short.select(target).distinct()
+    allowed = molecules.crossJoin(targets).join(blocked, [molecule, target], "left_anti")
+    allowed = allowed.withColumn("__k", md5_order(F.col(target), F.col(molecule), seed=seed)).withColumn("__r", F.substring("__k", 1, 2))
+    sizes = allowed.groupBy(target, "__r").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(target)
+    before = F.sum("__n").over(w.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(target, "__r", F.coalesce(before, F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy(target, "__r").orderBy("__k", molecule)) - 1
+    numbered = allowed.withColumn("__place", place).join(offsets, [target, "__r"]).select(target, molecule, (F.col("__place") + F.col("__before")).alias("__i"))
+    totals = sizes.groupBy(target).agg(F.sum("__n").alias("__e")).filter(F.col("__e") >= per_positive)
+    asked = short.join(totals, target).withColumn("__s", F.least(F.col("__e"), F.lit(per_positive + 1)))
+    asked = asked.withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__s") - 1)))
+    asked = asked.withColumn("__low", F.expr("__j * __e div __s")).withColumn("__width", F.expr("(__j + 1) * __e div __s") - F.col("__low"))
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("again"), F.col("pair_id"), F.col("__j"))), 1, 8), 16, 10).cast("long")
+    asked = asked.select("pair_id", "__pos", target, (F.col("__low") + F.pmod(number, F.col("__width"))).alias("__i"))
+    met = asked.join(numbered, [target, "__i"]).filter(F.col(molecule) != F.col("__pos"))
+    whole = Window.partitionBy("pair_id")
+    rank = F.row_number().over(whole.orderBy(md5_order(F.col("pair_id"), F.col(molecule), seed=seed), F.col(molecule)))
+    picked = met.withColumn("rank", rank).filter(F.col("rank") <= per_positive).withColumn("__n", F.count(F.lit(1)).over(whole))
+    return picked.filter(F.col("__n") == per_positive).select("pair_id", molecule, target, "rank")
 
 
 def negative_rows(negatives: DataFrame, positives: DataFrame, molecules: DataFrame, molecule: str, molecule_fields: list[str], nulled: list[str]) -> DataFrame:

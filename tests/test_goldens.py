@@ -181,3 +181,22 @@ def test_group_folds_balance(spark):
 def test_require(spark):
     with pytest.raises(ValueError, match="missing columns"):
         require_columns(spark.range(1), ["id", "nope"], "here")
+
+
+def test_short_pairs_draw_again(spark):
+    """Targets that nearly all molecules are known for: whoever can have ten negatives gets them, whoever cannot gets none."""
+    allowed = {"nine": 9, "ten": 10, "own": 11, "fifteen": 15, "half": 200, "free": 400}  # of 400 molecules
+    positives = [(m, t) for t in allowed for m in range(0, 400, 20)]
+    # the positive itself is blocked, as in the data, but for the target "own", whose positives are allowed ones
+    positives = [(m, t) for m, t in positives if t != "own"] + [(m, "own") for m in (389, 399)] + [(3, "own"), (None, "ten"), (3, None)]
+    blocked = [(m, t) for t, n in allowed.items() for m in range(400 - n)]
+    p = spark.createDataFrame(positives, "m long, t string")
+    mols, b = spark.range(400).select(F.col("id").alias("m")), spark.createDataFrame(blocked, "m long, t string")
+    got = {}
+    for r in pairs.sample_negatives(p, mols, b, "m", "t", 10, 400 // 12, 3).collect():
+        got.setdefault((r["pair_id"], r["t"]), []).append((r["rank"], r["m"]))
+    # "own": two positives leave ten others each, and positive 3 has eleven to choose from
+    assert set(got) == {(f"{m}_{t}", t) for m, t in positives if m is not None and t not in (None, "nine")}
+    for (pair_id, t), found in got.items():
+        assert sorted(r for r, _ in found) == list(range(1, 11)) and len({m for _, m in found}) == 10
+        assert all(m >= 400 - allowed[t] and f"{m}_{t}" != pair_id for _, m in found)
