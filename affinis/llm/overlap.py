@@ -25,7 +25,7 @@ BAND = 5
 #: Chains up to this length are compared inside the join; longer ones after it, once for each pair.
 SHORT_CHAIN = 256
 
-_GRAMS = T.ArrayType(T.StructType([T.StructField("gram", T.LongType()), T.StructField("pos", T.ShortType())]))
+_GRAMS = T.ArrayType(T.StructType([T.StructField("gram", T.LongType()), T.StructField("pos", T.IntegerType())]))
 
 
 def hash_text(text: str) -> int:

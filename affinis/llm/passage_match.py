@@ -10,6 +10,8 @@ import numpy as np
 
 _JOINER = re.compile(r"['’ʼ‘`´­​-‏⁠﻿]")
 _WORD = re.compile(r"[^\W_]+")
+#: Words of a text that are aligned at once; more where the item is long.
+STRETCH = 8192
 # Letters that decomposition leaves as they are.
 _PLAIN = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ı": "i"})
 
@@ -40,15 +42,27 @@ def best_passage(item: np.ndarray, text: np.ndarray, least: int = 12, per_edit:
     """(words, edits) of the longest passage of the item in the text with at most one edit in ``per_edit`` words.
 
     A passage is a run of at least ``least`` consecutive words of the item; words altered, missing or slipped in are
-    edits.  (0, 0) if there is none.  All starts of the passage are followed at once: for each, the fewest edits to
-    match item[start:end] with any part of the text, for growing end.
+    edits.  (0, 0) if there is none.  A long text is aligned in stretches, which overlap by as many words as a passage
+    can cover in the text, so that none is cut; numbers and memory then stay small for a text of any length.
     """
     n, m = len(item), len(text)
     if n < least or m < least - least // per_edit:
         return 0, 0
+    cover = n + n // per_edit
+    stretch = max(STRETCH, 4 * cover)
+    found = [_best_in_stretch(item, text[at : at + stretch], least, per_edit) for at in range(0, max(m - cover, 1), stretch - cover)]
+    return max(found, key=lambda f: (f[0], -f[1]))
+
+
+def _best_in_stretch(item: np.ndarray, text: np.ndarray, least: int, per_edit: int) -> tuple[int, int]:
+    """``best_passage`` of a short text.  All starts of the passage are followed at once: for each, the fewest edits to
+    match item[start:end] with any part of the text, for growing end.
+    """
+    n, m = len(item), len(text)
+    kind = np.int16 if n + m + 1 < np.iinfo(np.int16).max else np.int32
     starts = np.arange(n - least + 1)
-    cost = np.zeros((len(starts), m + 1), np.int16)
-    steps = np.arange(m + 1, dtype=np.int16)
+    cost = np.zeros((len(starts), m + 1), kind)
+    steps = np.arange(m + 1, dtype=kind)
     best = (0, 0)
     for length in range(1, n + 1):
         live = starts + length <= n
@@ -60,7 +74,7 @@ def best_passage(item: np.ndarray, text: np.ndarray, least: int = 12, per_edit:
         np.minimum(new[:, 1:], match, out=new[:, 1:])
         # words slipped in: spread along the text
         new = np.minimum.accumulate(new - steps, axis=1) + steps
-        cost = new.astype(np.int16)
+        cost = new.astype(kind)
         if length >= least:
             edits = cost.min(axis=1)
             i = int(edits.argmin())

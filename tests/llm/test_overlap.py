@@ -63,6 +63,15 @@ def test_prefix_join_is_exact(spark, lengths):
     assert got == want
 
 
+def test_places_in_very_long_chains(spark):
+    """What tells a chain from others stands beyond the 32,767th atom."""
+    tail = "N O S P F I B".split() * 2
+    a, b = ["C"] * 32_760 + tail, ["C"] * 32_762 + tail
+    rows = [(" ".join(x), "".join(x), e, not e) for x, e in ((a, True), (b, False))]
+    df = spark.createDataFrame(rows, "atoms string, code string, in_eval boolean, in_train boolean")
+    assert [(len(r[0]), len(r[1])) for r in overlap.near_pairs(df).collect()] == [(len(rows[0][0]), len(rows[1][0]))]
+
+
 def test_distance_bound():
     rng = random.Random(7)
     for _ in range(300):

@@ -67,6 +67,27 @@ def test_passage_against_loops():
         assert got == slow_best(item, text)
 
 
+@pytest.mark.parametrize("n_words", [33_000, 40_000, 70_000])
+def test_passage_in_long_texts(n_words):
+    item, text = np.arange(15), np.random.default_rng(n_words).integers(100, 5000, n_words)
+    assert best_passage(item, text) == (0, 0)
+    for at in (0, 8181, 8192, 16_380, n_words // 2, n_words - 15):
+        leak = text.copy()
+        leak[at : at + 15] = item
+        assert best_passage(item, leak) == (15, 0)
+    leak = text.copy()
+    leak[-15:] = item
+    leak[-5] = 99
+    assert best_passage(item, leak) == (15, 1)
+
+
+def test_passage_of_a_long_item():
+    item = np.arange(40_000)
+    assert best_passage(item[:33_000], item[20_000:20_040] + 0, 32_990) == (0, 0)
+    text = np.r_[np.full(33_000, -1), item[:20]]
+    assert best_passage(item[:20], text) == (20, 0)
+
+
 def test_common_subsequence():
     assert longest_common_subsequence(np.array([1, 2, 3, 4]), np.array([2, 9, 4])) == 2
     assert longest_common_subsequence(np.array([1]), np.array([], int)) == 0
