@@ -623,7 +623,7 @@ def avg_precision(spark, sf_dir):
 w AS (SELECT k AS bin, b, v, abs(k - b) AS d, CASE WHEN abs(k - b) <= 6 THEN exp(-((k - b) * (k - b)) / 4.5::DOUBLE) END AS w FROM range(10, 61) t(k), v)
 SELECT bin::INTEGER AS bin, round(coalesce(sum(w * v) / sum(w), arg_min(v, (d, b))), 6) AS smoothed FROM w GROUP BY 1""")
 def coef_smooth(spark, sf_dir):
-    m = table(spark, sf_dir, "final_training_meta").filter("ha_bin % 3 = 0")
+    m = table(spark, sf_dir, "final_training_meta").filter("ha_bin IS NOT NULL")
     v = m.groupBy("ha_bin").agg(F.avg(F.nanvl("activity_um", F.lit(None).cast("double"))).alias("v"))
     return models.smooth_coefficients(v, "ha_bin", "v").select("bin", _r("smoothed"))
 

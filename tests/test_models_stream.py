@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from affinis.operators import evaluate, models
 from affinis.operators.similarity import Params
+from affinis.plans import catalog
 from affinis.streaming.scoring import score_arrivals
 
 
@@ -26,6 +27,25 @@ def test_out_of_fold_scores(spark):
     assert evaluate.roc_auc(scored, ["g"], F.col("score"), F.col("y") == 1).first()["auc"] > 0.85
 
 
+def smooth(rows, low=10, high=60, sigma=1.5):
+    """{bin: Gaussian mean of the rows (bin, value) within four sigma, or the mean value of the nearest bin}."""
+    out = {}
+    for k in range(low, high + 1):
+        near = [(np.exp(-((k - b) ** 2) / (2 * sigma**2)), v) for b, v in rows if abs(k - b) <= int(4 * sigma + 0.5)]
+        closest = min((abs(k - b), b) for b, _ in rows)[1]
+        out[k] = sum(w * v for w, v in near) / sum(w for w, _ in near) if near else np.mean([v for b, v in rows if b == closest])
+    return out
+
+
+def test_every_bin_is_smoothed(spark, tmp_path):
+    """Bins that 3 does not divide count too; 13 and 40 lie so far apart that the bins between take the nearest."""
+    rows = [(10, 2.0), (10, 4.0), (11, 50.0), (12, float("nan")), (13, 7.0), (40, 9.0), (41, None), (43, 1.0), (59, 30.0), (None, 1e6)]
+    spark.createDataFrame(rows, "ha_bin int, activity_um double").write.parquet(f"{tmp_path}/final_training_meta.parquet")
+    want = smooth([(10, 3.0), (11, 50.0), (13, 7.0), (40, 9.0), (43, 1.0), (59, 30.0)])
+    got = {r["bin"]: r["smoothed"] for r in catalog.QUERIES["coef_smooth"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
 def test_arrivals_are_scored(spark, tmp_path):
     rows = [(i, i % 2, [i * 7 + 1, i], [[float(i), 1.0]], str(i), i, 0, 20) for i in range(12)]
     schema = "id long, target long, bits array<long>, conformers array<array<double>>, scaffold string, fold int, assay int, heavy_atoms int"
