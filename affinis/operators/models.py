@@ -107,16 +107,21 @@ def to_raw_space(coefficients: DataFrame, means: list[float], scales: list[float
 def smooth_coefficients(coefficients: DataFrame, by: str, value: str, low: int = 10, high: int = 60, sigma: float = 1.5) -> DataFrame:
     """A Gaussian mean over neighbouring bins that have a value, at every bin; a bin far from all takes the nearest one.
 
-    A table of at most high - low + 1 rows; weights reach four sigma and are normalised over the bins present.
+    Weights reach four sigma and are normalised over the rows of the bins present; rows without a bin take no part.
+    Sums per bin meet the grid: the bins within reach of it, and on either side the nearest of those beyond, as no
+    other can count.
     """
     spark = coefficients.sparkSession
-    grid = spark.range(low, high + 1).select(F.col("id").cast("int").alias("bin"))
-    c = coefficients.filter(F.col(value).isNotNull()).select(F.col(by).cast("int").alias("b"), F.col(value).cast("double").alias("v"))
-    pairs = grid.crossJoin(F.broadcast(c.limit(high - low + 1))).withColumn("d", F.abs(F.col("bin") - F.col("b")))  # one row a bin
     reach = int(4 * sigma + 0.5)
+    grid = spark.range(low, high + 1).select(F.col("id").cast("int").alias("bin"))
+    c = coefficients.select(F.col(by).cast("int").alias("b"), F.col(value).cast("double").alias("v")).dropna(subset=["b"]).filter("v IS NOT NULL")
+    c = c.groupBy("b").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    place = F.least(F.greatest(F.col("b"), F.lit(low - reach - 1)), F.lit(high + reach + 1))
+    c = c.groupBy(place.alias("place")).agg(F.min_by(F.struct("b", "v", "n"), F.abs(F.col("b") - F.lit((low + high) / 2))).alias("c")).select("c.*")
+    pairs = grid.crossJoin(F.broadcast(c)).withColumn("d", F.abs(F.col("bin") - F.col("b")))  # high - low + 2 reach + 3 rows at most
     w = F.when(F.col("d") <= reach, F.exp(-(F.col("d") * F.col("d")) / F.lit(2 * sigma * sigma)))
-    near = F.min_by("v", F.struct("d", "b"))
-    return pairs.groupBy("bin").agg(F.sum(w * F.col("v")).alias("s"), F.sum(w).alias("w"), near.alias("nearest")).select("bin", F.coalesce(F.col("s") / F.col("w"), F.col("nearest")).alias("smoothed"))
+    near = F.min_by(F.col("v") / F.col("n"), F.struct("d", "b"))
+    return pairs.groupBy("bin").agg(F.sum(w * F.col("v")).alias("s"), F.sum(w * F.col("n")).alias("w"), near.alias("nearest")).select("bin", F.coalesce(F.col("s") / F.col("w"), F.col("nearest")).alias("smoothed"))
 
 
 def mean_over_folds(df: DataFrame, by: list[str], value: str) -> DataFrame:

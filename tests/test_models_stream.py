@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from affinis.operators import evaluate, models
@@ -46,6 +47,15 @@ def test_every_bin_is_smoothed(spark, tmp_path):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in want)
 
 
+@pytest.mark.parametrize("chosen", [range(-200, 200), [-50, 100, 130], [-7, 9, 64, 66, 67], [61] * 3])
+def test_smoothing_takes_all_rows(spark, chosen):
+    rows = [(b, float(b % 7 + i)) for b in chosen for i in range(2)]
+    df = spark.createDataFrame([*rows, (None, 1e6)], "b int, v double")
+    got = {r["bin"]: r["smoothed"] for r in models.smooth_coefficients(df, "b", "v").collect()}
+    want = smooth(rows)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_arrivals_are_scored(spark, tmp_path):
     rows = [(i, i % 2, [i * 7 + 1, i], [[float(i), 1.0]], str(i), i, 0, 20) for i in range(12)]
     schema = "id long, target long, bits array<long>, conformers array<array<double>>, scaffold string, fold int, assay int, heavy_atoms int"
