@@ -11,12 +11,13 @@ DEFAULT_INTERCEPT, DEFAULT_3D, DEFAULT_2D = -5.0, 3.0, 7.0
 
 
 def fit_logistic_by_group(df: DataFrame, by: str, features: list[str], label: str, c: float = 10.0, rounds: int = 25) -> DataFrame:
-    """(by, intercept, weights array, n_rows) of an L2-regularised logistic regression with balanced classes per group.
+    """(by, intercept, weights array, n_rows, fitted, converged) of an L2-regularised logistic regression with balanced classes per group.
 
     Newton's method, one Spark pass a round: every group sends its gradient and Hessian as sums of built-in aggregates,
     which combine before the shuffle, so a group of any size costs a few numbers. ``by`` has few values (size bins);
     their coefficients are what the driver holds.  Rows with a NULL feature or label are left out; a group of one class
-    gets the default coefficients.
+    gets the default coefficients.  ``converged`` is false where the last step was still 1e-8 or more after ``rounds``
+    and where nothing was fitted.
     """
     spark = df.sparkSession
     d = df.select(by, *(F.col(f).cast("double").alias(f"__x{i}") for i, f in enumerate(features)), F.col(label).cast("double").alias("__y")).dropna()
@@ -47,8 +48,8 @@ def fit_logistic_by_group(df: DataFrame, by: str, features: list[str], label: st
             if size < 1e-8:
                 live.discard(g)
     default = [DEFAULT_INTERCEPT, *(DEFAULT_3D if i % 2 == 0 else DEFAULT_2D for i in range(k - 1))]
-    out = [(g, *(lambda t: (float(t[0]), [float(v) for v in t[1:]]))(theta.get(g, np.array(default))), n, g in theta) for g, (n, _) in sizes.items()]
-    return spark.createDataFrame(out, f"`{by}` {dict(df.dtypes)[by]}, intercept double, weights array<double>, n_rows long, fitted boolean")
+    out = [(g, *(lambda t: (float(t[0]), [float(v) for v in t[1:]]))(theta.get(g, np.array(default))), n, g in theta, g in theta and g not in live) for g, (n, _) in sizes.items()]
+    return spark.createDataFrame(out, f"`{by}` {dict(df.dtypes)[by]}, intercept double, weights array<double>, n_rows long, fitted boolean, converged boolean")
 
 
 def score_logistic(df: DataFrame, coefficients: DataFrame, by: str, features: list[str], out: str = "score") -> DataFrame:

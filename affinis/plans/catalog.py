@@ -632,5 +632,5 @@ def coef_smooth(spark, sf_dir):
 def logistic_fit(spark, sf_dir):
     d = _scored(spark, sf_dir).filter("size_bin IS NOT NULL").withColumn("y", F.col("is_true_target").cast("int"))
     d = d.filter("NOT isnan(max_sim_3d) AND NOT isnan(max_sim_2d)")
-    c = models.fit_logistic_by_group(d, "size_bin", ["max_sim_3d", "max_sim_2d"], "y", rounds=8)
-    return c.select("size_bin", F.round("intercept", 4).alias("intercept"), F.round(F.col("weights")[0], 4).alias("w_3d"), F.round(F.col("weights")[1], 4).alias("w_2d"), "n_rows")
+    c = models.fit_logistic_by_group(d, "size_bin", ["max_sim_3d", "max_sim_2d"], "y")
+    return c.select("size_bin", F.round("intercept", 4).alias("intercept"), F.round(F.col("weights")[0], 4).alias("w_3d"), F.round(F.col("weights")[1], 4).alias("w_2d"), "n_rows", "converged")

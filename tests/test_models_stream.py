@@ -28,6 +28,13 @@ def test_out_of_fold_scores(spark):
     assert evaluate.roc_auc(scored, ["g"], F.col("score"), F.col("y") == 1).first()["auc"] > 0.85
 
 
+def test_unfinished_fits_are_told(spark):
+    rows = [("g", float(i % 10), int(i % 10 + i % 3 > 5)) for i in range(90)] + [("one class", 1.0, 1)]
+    df = spark.createDataFrame(rows, "g string, x double, y int").coalesce(2)
+    fits = {n: {r["g"]: r["converged"] for r in models.fit_logistic_by_group(df, "g", ["x"], "y", rounds=n).collect()} for n in (2, 25)}
+    assert fits == {2: {"g": False, "one class": False}, 25: {"g": True, "one class": False}}
+
+
 def smooth(rows, low=10, high=60, sigma=1.5):
     """{bin: Gaussian mean of the rows (bin, value) within four sigma, or the mean value of the nearest bin}."""
     out = {}
