@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from affinis.operators.ranges import equal_count_edges
+
 
 def quantile_bins(df: DataFrame, by: str, value: str, n_bins: int = 20) -> DataFrame:
     """Adds ``bin``: equal-count bins per group, right-closed with the lowest value included, repeated edges dropped.
@@ -17,16 +17,7 @@ def quantile_bins(df: DataFrame, by: str, value: str, n_bins: int = 20) -> DataF
     """
     v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
     d = df.withColumn("__v", v).filter("__v IS NOT NULL")
-    distinct = d.groupBy(by).agg(F.least(F.lit(n_bins), F.greatest(F.lit(2), F.count_distinct("__v"))).alias("k"))
-    # one exact percentile per possible number of edges would be dear: the edges of the bin number at hand are picked
-    sizes = sorted(r["k"] for r in distinct.select("k").distinct().collect())  # at most n_bins numbers
-    edges = reduce(
-        lambda a, b: a.unionByName(b),
-        [
-            d.join(distinct.filter(F.col("k") == k), by, "left_semi").groupBy(by).agg(F.array_sort(F.array_distinct(F.percentile("__v", F.array(*(F.lit(i / k) for i in range(k + 1)))))).alias("edges"))
-            for k in sizes
-        ],
-    ) if sizes else d.select(by, F.array(F.col("__v")).alias("edges")).limit(0)
+    edges = equal_count_edges(d, by, "__v", n_bins)  # one row for each group
     below = F.size(F.filter("edges", lambda e: e < F.col("__v")))
     return d.join(edges, by).withColumn("bin", F.greatest(below, F.lit(1)) - 1).drop("edges", "__v")
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from affinis.operators.ranges import quantiles as exact_quantiles
+from affinis.operators.ranges import sums_before
+
 CUTOFFS = (1, 5, 10, 15, 100)
 HIT_CUTOFFS = (1, 5, 10, 15, 50, 100, 250, 500)
 
@@ -62,9 +65,12 @@ def run_summary(log: DataFrame, query: str) -> DataFrame:
 def quantiles(df: DataFrame, value: str, by: list[str], points: tuple[float, ...] = (0.05, 0.1, 0.5, 0.9, 0.95)) -> DataFrame:
     """Exact quantiles (linear interpolation), mean and population standard deviation; NaN counts as missing."""
     v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
-    return df.groupBy(*by).agg(
-        F.count(v).alias("n"), *(F.percentile(v, F.lit(p)).alias(f"p{int(p * 100):02d}") for p in points), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")
-    )
+    whole = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
+    q = exact_quantiles(df, by, value, list(points)).select(*(F.col(g).alias(f"__{g}") for g in by), "q")
+    on = F.lit(True)
+    for g in by:
+        on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    return whole.join(q, on, "left").select(*by, "n", *(F.col("q")[i].alias(f"p{int(p * 100):02d}") for i, p in enumerate(points)), "mean", "std")
 
 
 # ---------------------------------------------------------------------------------------- distributions
@@ -94,17 +100,11 @@ def ks_statistic(full: DataFrame, subset: DataFrame, value: str, parts: int | No
     Values are counted per distinct value, spread over ranges of the value; each range sums up its own counts on top of
     the counts of the ranges before it, so no task sorts the whole column.
     """
-    spark = full.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("v")
     both = full.select(v, F.lit(1).alias("f"), F.lit(0).alias("s")).unionByName(subset.select(v, F.lit(0).alias("f"), F.lit(1).alias("s"))).filter("v IS NOT NULL")
-    counted = both.groupBy("v").agg(F.sum("f").alias("f"), F.sum("s").alias("s")).repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id())
-    sums = counted.groupBy("part").agg(F.sum("f").alias("pf"), F.sum("s").alias("ps"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    offsets = sums.select("part", F.coalesce(F.sum("pf").over(before), F.lit(0)).alias("of"), F.coalesce(F.sum("ps").over(before), F.lit(0)).alias("os"))
-    total = sums.agg(F.sum("pf").alias("nf"), F.sum("ps").alias("ns"))
-    within = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    run = counted.join(offsets, "part").select((F.sum("f").over(within) + F.col("of")).alias("cf"), (F.sum("s").over(within) + F.col("os")).alias("cs"))
+    run = sums_before(both.groupBy("v").agg(F.sum("f").alias("f"), F.sum("s").alias("s")), [], ["v"], ["f", "s"], parts)
+    run = run.select("f", "s", (F.col("before_f") + F.col("f")).alias("cf"), (F.col("before_s") + F.col("s")).alias("cs"))
+    total = run.agg(F.sum("f").alias("nf"), F.sum("s").alias("ns"))
     return run.crossJoin(F.broadcast(total)).agg(F.max(F.abs(F.col("cf") / F.col("nf") - F.col("cs") / F.col("ns"))).alias("ks"))  # one row
 
 
@@ -131,15 +131,12 @@ def _by_score(df: DataFrame, by: list[str], score: Column, positive: Column) ->
 
 def roc_auc(df: DataFrame, by: list[str], score: Column, positive: Column) -> DataFrame:
     """Exact area under the ROC curve per group, ties counting half; NULL without both classes."""
-    g = _by_score(df, by, score, positive)
-    below = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    d = g.withColumn("wins", F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0)) + 0.5 * F.col("n")))
+    d = sums_before(_by_score(df, by, score, positive), by, ["s"], ["n"]).withColumn("wins", F.col("p") * (F.col("before_n") + 0.5 * F.col("n")))
     return d.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.try_divide(F.sum("wins"), F.sum("p").cast("double") * F.sum("n")).alias("auc"))
 
 
 def average_precision(df: DataFrame, by: list[str], score: Column, positive: Column) -> DataFrame:
     """Sum over tie groups of the recall gained times the precision there; not the trapezoid under the curve."""
-    g = _by_score(df, by, score, positive)
-    down = Window.partitionBy(*by).orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    d = g.withColumn("cp", F.sum("p").over(down)).withColumn("cn", F.sum("n").over(down))
+    g = _by_score(df, by, score, positive).withColumn("down", -F.col("s"))
+    d = sums_before(g, by, ["down"], ["p", "n"]).withColumn("cp", F.col("before_p") + F.col("p")).withColumn("cn", F.col("before_n") + F.col("n"))
     return d.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.try_divide(F.sum(F.col("p") * F.col("cp") / (F.col("cp") + F.col("cn"))), F.sum("p").cast("double")).alias("average_precision"))

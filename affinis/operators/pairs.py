@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinis.functions.bins import md5_order
+from affinis.operators.ranges import sums_before
 from affinis.session import cut_lineage
 
 
@@ -191,14 +192,20 @@ def quota_fill(have: DataFrame, candidates: DataFrame, pair: str, target: str, m
     """(pair, molecule, tier): negatives that fill each pair up to ``quota``, tier 1 before tier 2, in a fixed shuffle.
 
     ``have``: the present negatives and positives (pair, target, molecule, set_type); ``candidates``: (target, molecule,
-    tier).  Molecules already in the pair are left out.  Candidates of a target are first cut to the quota per tier by
-    the shuffle of the target, plus as many as a pair may already hold, so a pair never meets a whole target.
+    tier).  Molecules already in the pair are left out, repeated rows of a pair count once.  A pair of m molecules can
+    use only the first quota + m candidates of its target and tier in the shuffle of the target, so no pair meets a whole
+    target: those of usual size (m <= quota + 1) share one short list, cut by a group limit before the shuffle; the few
+    larger ones meet a list as long as they need.
     """
-    need = have.groupBy(pair).agg(F.min(target).alias(target), F.count_if(F.col("set_type") == "Negative").alias("n_neg"), F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_neg") < quota)
-    most = quota * 2 + 1
+    need = have.groupBy(pair).agg(F.min(target).alias(target), F.count_if(F.col("set_type") == "Negative").alias("n_neg"), F.count_distinct(molecule).alias("__m")).filter(F.col("n_neg") < quota)
     wt = Window.partitionBy(target, "tier").orderBy(md5_order(F.col(target), F.col(molecule), seed=seed), F.col(molecule))
-    pool = candidates.select(target, molecule, "tier").distinct().withColumn("__rn", F.row_number().over(wt)).filter(F.col("__rn") <= most).drop("__rn")
-    offered = need.filter(F.col("n_rows") <= quota + 1).join(pool, target).join(have.select(pair, molecule).distinct(), [pair, molecule], "left_anti")
+    ranked = candidates.select(target, molecule, "tier").distinct().withColumn("__rn", F.row_number().over(wt))
+    usual = need.filter(F.col("__m") <= quota + 1).join(ranked.filter(F.col("__rn") <= 2 * quota + 1).drop("__rn"), target)
+    large = need.filter(F.col("__m") > quota + 1)
+    deepest = large.groupBy(target).agg((F.max("__m") + quota).alias("__deep"))
+    deep = ranked.join(deepest, target).filter(F.col("__rn") <= F.col("__deep")).drop("__deep")
+    large = large.join(deep, target).filter(F.col("__rn") <= F.col("__m") + quota).drop("__rn")
+    offered = usual.unionByName(large).join(have.select(pair, molecule).distinct(), [pair, molecule], "left_anti")
     wp = Window.partitionBy(pair).orderBy("tier", md5_order(F.col(target), F.col(molecule), seed=seed), F.col(molecule))
     return offered.withColumn("__rn", F.row_number().over(wp)).filter(F.col("__rn") <= F.lit(quota) - F.col("n_neg")).select(pair, molecule, "tier")
 
@@ -216,14 +223,12 @@ def stratified_subset(groups: DataFrame, group: str, strata: list[str], ratio: f
 
     ``groups`` has one row per group.  Strata compare NULL as a value of its own.
     """
-    w = Window.partitionBy(*strata)
-    rank = F.row_number().over(w.orderBy(md5_order(F.col(group), seed=seed), F.col(group)))
-    sizes = groups.groupBy(*strata).agg(F.count(F.lit(1)).alias("__n"))
+    placed = sums_before(groups.withColumn("__k", md5_order(F.col(group), seed=seed)).withColumn("__1", F.lit(1)), strata, ["__k", group], ["__1"])
+    sizes = placed.groupBy(*strata).agg(F.count(F.lit(1)).alias("__n"))
     keep = F.least(F.col("__n"), F.greatest(F.lit(least), F.bround(F.col("__n") * F.lit(float(ratio)))))
-    on = [groups[s].eqNullSafe(sizes[s]) for s in strata]
     quota = sizes.select(*(F.col(s).alias(f"__{s}") for s in strata), keep.alias("__keep"))
     on = [F.col(s).eqNullSafe(F.col(f"__{s}")) for s in strata]
-    return groups.withColumn("__rn", rank).join(quota, on).filter(F.col("__rn") <= F.col("__keep")).select(*groups.columns)
+    return placed.join(quota, on).filter(F.col("before___1") < F.col("__keep")).select(*groups.columns)
 
 
 def capped_sample(df: DataFrame, stratum: str, row: str, most: int, seed: str = "42") -> DataFrame:

@@ -203,10 +203,10 @@ def trim_negatives(spark, sf_dir):
 
 
 _FILL_SQL = f"""{_META_SQL}, {_CURATED_SQL}, have AS (SELECT * FROM meta WHERE pair_id IS NOT NULL),
-need AS (SELECT pair_id, min(target_chembl_id) AS target_chembl_id, count(*) FILTER (set_type = 'Negative') AS n_neg, count(*) AS n_rows FROM have GROUP BY 1 HAVING count(*) FILTER (set_type = 'Negative') < 10),
+need AS (SELECT pair_id, min(target_chembl_id) AS target_chembl_id, count(*) FILTER (set_type = 'Negative') AS n_neg FROM have GROUP BY 1 HAVING count(*) FILTER (set_type = 'Negative') < 10),
 cand AS (SELECT DISTINCT target_chembl_id, mol, CASE WHEN um >= 100 THEN 1 ELSE 2 END AS tier FROM lab WHERE label <> 'Active' AND mol IS NOT NULL AND target_chembl_id IS NOT NULL),
-pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_chembl_id, tier ORDER BY md5('42|' || target_chembl_id || '|' || mol), mol) AS rn FROM cand) WHERE rn <= 21),
-offer AS (SELECT need.pair_id, need.n_neg, pool.* FROM need JOIN pool USING (target_chembl_id) WHERE n_rows <= 11 AND NOT EXISTS (SELECT 1 FROM have h WHERE h.pair_id = need.pair_id AND h.mol = pool.mol)),
+held AS (SELECT DISTINCT pair_id, mol FROM have),
+offer AS (SELECT need.pair_id, need.n_neg, cand.* FROM need JOIN cand USING (target_chembl_id) ANTI JOIN held ON held.pair_id = need.pair_id AND held.mol = cand.mol),
 added AS (SELECT pair_id, mol, tier FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY tier, md5('42|' || target_chembl_id || '|' || mol), mol) AS k FROM offer) WHERE k <= 10 - n_neg)"""
 
 
