@@ -89,7 +89,10 @@ def _run_back(x: np.ndarray, wh: np.ndarray, ids: np.ndarray, mask: np.ndarray,
         if t:
             dwh += hs[t - 1].T @ dz
         dh, dc = dz @ wh.T, dc * f
-    np.add.at(dx, ids.ravel(), dz_all.reshape(-1, 4 * hidden))
+    flat = ids.ravel()
+    order = np.argsort(flat, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(flat[order]) > 0])
+    dx[flat[order][cuts]] = np.add.reduceat(dz_all.reshape(-1, 4 * hidden)[order], cuts, axis=0)
     return dx, dwh
 
 
@@ -154,10 +157,13 @@ def _gradients(p: dict, ids: np.ndarray, mask: np.ndarray, tags: np.ndarray):
     return loss, g
 
 
-def train(windows: list[np.ndarray], tags: list[np.ndarray], n_tags: int, hidden: int = 32, epochs: int = 12, batch: int = 64, rate: float = 6e-3, seed: int = 1, say=None) -> dict:
-    """Fits the tagger to symbol windows and their tags by Adam; windows of any length up to a few hundred."""
+def train(windows: list[np.ndarray], tags: list[np.ndarray], n_tags: int, hidden: int = 32, epochs: int = 12, batch: int = 64, rate: float = 6e-3, seed: int = 1, say=None, pool=None, workers: int = 1, start: dict | None = None) -> dict:
+    """Fits the tagger to symbol windows and their tags by Adam; windows of any length up to a few hundred.
+
+    With a ``pool`` of processes, each computes the gradient of its share of a batch; ``start`` continues an earlier fit.
+    """
     rng = np.random.default_rng(seed)
-    p = initial(hidden, n_tags, seed)
+    p = {k: x.copy() for k, x in start.items()} if start else initial(hidden, n_tags, seed)
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     step, total = 0, epochs * -(-len(windows) // batch)
     by_length = np.argsort([len(w) for w in windows], kind="stable")
@@ -165,8 +171,9 @@ def train(windows: list[np.ndarray], tags: list[np.ndarray], n_tags: int, hidden
         loss = 0.0
         groups = np.array_split(by_length, -(-len(windows) // batch))
         for at in rng.permutation(len(groups)):
-            ids, mask, gold = pad([windows[i] for i in groups[at]], [tags[i] for i in groups[at]])
-            part, g = _gradients(p, ids, mask, gold)
+            shares = [(p, *pad([windows[i] for i in share], [tags[i] for i in share])) for share in np.array_split(groups[at], workers) if len(share)]
+            parts = pool.starmap(_gradients, shares, chunksize=1) if pool else [_gradients(*x) for x in shares]
+            part, g = sum(x for x, _ in parts), {k: sum(x[k] for _, x in parts) for k in p}
             loss += part
             norm = np.sqrt(sum(float((x * x).sum()) for x in g.values())) / len(groups[at])
             step += 1

@@ -14,96 +14,55 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from affinis.llm import char_tagger as tagger
-from affinis.llm.pii_rules import KINDS, NAME, _NO_NAME, _TITLES, labelled
+from affinis.llm.pii_rules import KINDS, learnt_names, with_learnt_names
+from affinis.llm.pii_sentences import mixed, refilled
 from affinis.session import spread
 
 #: Tag 0 is no information; kind k has the tags 2k+1 (first character) and 2k+2 (the rest).
 N_TAGS = 2 * len(KINDS) + 1
-#: Characters of a window and its step: every piece up to WINDOW - STEP characters lies whole in some window.
-WINDOW, STEP = 160, 112
-#: Windows tagged at once in a task, by characters.
-BLOCK_CHARACTERS = 160 * 1024
-#: Taken from the score of "no information", so that doubtful passages reach the exact check.
-DOUBT = 2.5
-#: A passage shaped like a name in no telling surroundings counts if its tags score so much above "no information".
-NAME_MARGIN = 0.8
+#: Characters of a window and its step: the scores of a character come from the window in which it lies further inside.
+WINDOW, STEP = 256, 192
+#: Windows scored, and texts decoded, at once in a task, by characters.
+BLOCK_CHARACTERS = 128 * 1024
+LANGUAGES = ("en", "de", "fr", "es")
+#: Copies of each labelled text of the sample with other pieces in the same places.
+REFILLS = 3
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 
 
 # ---------------------------------------------------------------------------------------------------- training
 
-_ONSET = ("b", "br", "d", "dr", "f", "g", "gr", "h", "j", "k", "kl", "l", "m", "n", "p", "pr", "qu", "r", "s", "st", "t", "tr", "v", "w", "y", "z", "")
-_VOWEL = ("a", "e", "i", "o", "u", "ei", "au", "ia", "é", "ö")
-_CODA = ("", "l", "n", "r", "s", "m", "ck", "nd", "rt", "x", "sk", "ne", "le")
-_KEEP = {"at", "dot", "com", "org", "net", "example", "test", "invalid", "mailto", "arroba", "punto", "von", "van", "de", "du", "del", "la", "bis", "ter"}
-_STREETS = ("straße", "strasse", "str", "weg", "gasse", "allee", "platz", "ring")
-_TYPES = {"Street", "St", "Road", "Rd", "Lane", "Avenue", "Ave", "Crescent", "Close", "Drive", "Way", "Court", "Place", "Square", "Terrace", "Calle", "Avda", "Avenida", "Paseo", "Plaza", "Camino", "C"}
-
-
-def _word(rng: random.Random, capital: bool) -> str:
-    w = "".join(rng.choice(_ONSET) + rng.choice(_VOWEL) + (rng.choice(_CODA) if rng.random() < 0.6 else "") for _ in range(rng.choice((1, 2, 2, 2, 3)))) or "ova"
-    return w[0].upper() + w[1:] if capital else w
-
-
-def scrambled(text: str, kind: str, rng: random.Random) -> str:
-    """The same kind of information about nobody: invented words, digits and letters of the same shape."""
-    def one(m: re.Match) -> str:
-        w = m[0]
-        if w.isdigit():
-            return "".join(rng.choice("0123456789") for _ in w)
-        if kind in ("phone",) or w.lower() in _KEEP or w in _TYPES or len(w) == 1 and kind != "id_number":
-            return w if len(w) > 1 or kind != "name" else rng.choice("ABCDEFGHIJKLMNOPRSTVWZ")
-        if kind == "id_number":
-            return "".join(rng.choice("ABCDEFGHJKLMNPRSTVWXYZ") if ch.isupper() else ch for ch in w)
-        for s in _STREETS:
-            if kind == "address" and w.lower().endswith(s):
-                return _word(rng, True) + w[len(w) - len(s) :]
-        if kind == "address" and w.islower():
-            return w
-        new = _word(rng, w[0].isupper())
-        return new.upper() if w.isupper() else new
-
-    return re.sub(r"[0-9]+|[^\W\d_]+", one, text)
-
-
-def training_windows(texts: list[str], copies: int, seed: int = 5) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Windows with their tags from texts whose pieces are beyond doubt, as they stand and in scrambled copies."""
+
+def _tagged(text: str, marks: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    gold = np.zeros(len(text), np.int64)
+    for kind, a, b in marks:
+        k = KINDS.index(kind)
+        gold[a:b] = 2 * k + 2
+        gold[a] = 2 * k + 1
+    return tagger.symbols(text).astype(np.int64), gold
+
+
+def training_windows(texts: list[str], invented: int, seed: int = 5) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Windows with their tags: from the sample as its labels say, from copies of it with other pieces, and from ``invented`` texts."""
     rng = random.Random(seed)
+    given, family = learnt_names(texts)
+    labels = [[(k, a, b) for k, a, b, _ in with_learnt_names(t, given, family)] for t in texts]
+    plain = [t for t, marks in zip(texts, labels) if not marks and t.strip()]
+    both = [(t, marks) for t, marks in zip(texts, labels) if marks]
+    own = list(both)
+    for _ in range(REFILLS):
+        both += [refilled(rng, t, marks, rng.choice(LANGUAGES)) for t, marks in own]
+    both += [(t, []) for t in plain[: 4 * len(own)]]
+    both += [mixed(rng, plain, rng.choice(LANGUAGES)) for _ in range(invented)]
     windows, tags = [], []
-    for text in texts:
-        spans = labelled(text)
-        for copy in range(1 + (copies if spans else 0)):
-            body, marks, at = "", [], 0
-            for kind, a, b, _ in spans:
-                piece = text[a:b] if copy == 0 else scrambled(text[a:b], kind, rng)
-                body += text[at:a]
-                marks.append((kind, len(body), len(body) + len(piece)))
-                body += piece
-                at = b
-            body += text[at:]
-            gold = np.zeros(len(body), np.int64)
-            for kind, a, b in marks:
-                k = KINDS.index(kind)
-                gold[a:b] = 2 * k + 2
-                gold[a] = 2 * k + 1
-            ids = tagger.symbols(body)
-            for a in range(0, max(1, len(body) - WINDOW + STEP), STEP):
-                part = gold[a : a + WINDOW]
-                if copy and not part.any():
-                    continue
-                windows.append(ids[a : a + WINDOW].astype(np.int64))
-                tags.append(part)
+    for text, marks in both:
+        ids, gold = _tagged(text, marks)
+        for a, b in _windows(len(text)):
+            windows.append(ids[a:b])
+            tags.append(gold[a:b])
     return windows, tags
 
 
-def fit(texts: list[str], hidden: int = 32, epochs: int = 12, copies: int = 2, say=None) -> dict[str, np.ndarray]:
-    """Trains the tagger on a bounded sample of texts; half of those without information are left out."""
-    with_info = [t for t in texts if labelled(t)]
-    without = [t for t in texts if not labelled(t)][: max(200, 2 * len(with_info))]
-    windows, tags = training_windows(with_info + without, copies)
-    return tagger.train(windows, tags, N_TAGS, hidden=hidden, epochs=epochs, say=say)
-
-
 def save(weights: dict[str, np.ndarray], path: Path = WEIGHTS) -> None:
     np.savez_compressed(path, **{k: v.astype(np.float16) for k, v in weights.items()})
 
@@ -125,86 +84,105 @@ def _windows(length: int) -> list[tuple[int, int]]:
     return out
 
 
-def tag_texts(weights: dict, texts: list[str], doubt: float = DOUBT) -> list[list[tuple[str, int, int, float]]]:
-    """(kind, start, end, margin) of the tagged passages of each text; margin: their mean score above no information.
-
-    Windows of all texts are tagged in blocks of like length; where windows of a text overlap, each decides up to the
-    middle of the overlap, which every short piece has whole on one side or the other with its surroundings.
-    """
-    ids = [tagger.symbols(t) for t in texts]
-    jobs = sorted(((b - a, i, a, b) for i, x in enumerate(ids) if len(x) for a, b in _windows(len(x))), key=lambda j: j[0])
-    tags = [np.zeros(len(x), np.int8) for x in ids]
-    margins: dict[int, np.ndarray] = {}
+def _batches(lengths: list[int]) -> Iterator[list[int]]:
+    """Indices of jobs of like length, as many at a time as fit the block."""
+    order = sorted(range(len(lengths)), key=lengths.__getitem__)
     at = 0
-    while at < len(jobs):
+    while at < len(order):
         n = 1
-        while at + n < len(jobs) and (n + 1) * jobs[at + n][0] <= BLOCK_CHARACTERS:
+        while at + n < len(order) and (n + 1) * lengths[order[at + n]] <= BLOCK_CHARACTERS:
             n += 1
-        part = jobs[at : at + n]
+        yield order[at : at + n]
         at += n
-        block, mask, _ = tagger.pad([ids[i][a:b].astype(np.int64) for _, i, a, b in part])
+
+
+def tag_texts(weights: dict, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+    """(kind, start, end) of the tagged passages of each text.
+
+    Windows of all texts are scored in blocks of like length; where windows of a text overlap, each gives the scores up
+    to the middle of the overlap.  The best tags are then found over each text as a whole, so no passage is cut by a
+    window.
+    """
+    ids = [tagger.symbols(t) for t in texts]
+    jobs = [(i, a, b) for i, x in enumerate(ids) if len(x) for a, b in _windows(len(x))]
+    scores = [np.empty((len(x), N_TAGS), np.float32) for x in ids]
+    half = (WINDOW - STEP) // 2
+    for part in _batches([b - a for _, a, b in jobs]):
+        block, mask, _ = tagger.pad([ids[i][a:b] for i, a, b in map(jobs.__getitem__, part)])
         e, _ = tagger.emissions(weights, block, mask)
-        none = e[:, :, 0].copy()
-        e[:, :, 0] -= doubt
+        for j, (i, a, b) in enumerate(map(jobs.__getitem__, part)):
+            low, high = (0 if a == 0 else half), (b - a if b == len(ids[i]) else b - a - half)
+            scores[i][a + low : a + high] = e[low:high, j]
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    own = [i for i, x in enumerate(scores) if len(x)]
+    for part in _batches([len(scores[i]) for i in own]):
+        names = [own[j] for j in part]
+        steps = max(len(scores[i]) for i in names)
+        e, mask = np.zeros((steps, len(names), N_TAGS), np.float32), np.zeros((steps, len(names)), np.float32)
+        for j, i in enumerate(names):
+            e[: len(scores[i]), j], mask[: len(scores[i]), j] = scores[i], 1.0
         best = tagger.viterbi(weights, e, mask)
-        if not best.any():
-            continue
-        for j, (length, i, a, b) in enumerate(part):
-            half = (WINDOW - STEP) // 2
-            low, high = (0 if a == 0 else half), (length if b == len(ids[i]) else length - half)
-            tags[i][a + low : a + high] = best[low:high, j]
-            if best[low:high, j].any():
-                own = np.take_along_axis(e[low:high, j], best[low:high, j, None], 1)[:, 0] - none[low:high, j]
-                margins.setdefault(i, np.zeros(len(ids[i]), np.float32))[a + low : a + high] = own
-    out = []
-    for i, t in enumerate(tags):
-        spans: list[tuple[str, int, int]] = []
-        at = np.flatnonzero(t)
-        for pos in at.tolist():
-            kind = KINDS[(t[pos] - 1) // 2]
-            if spans and spans[-1][2] == pos and spans[-1][0] == kind and t[pos] % 2 == 0:
-                spans[-1] = (kind, spans[-1][1], pos + 1)
-            else:
-                spans.append((kind, pos, pos + 1))
-        out.append([(kind, a, b, float(margins[i][a:b].mean())) for kind, a, b in spans])
+        for j, i in enumerate(names):
+            out[i] = _spans(best[: len(scores[i]), j])
     return out
 
 
-def _best_name(text: str, a: int, b: int) -> tuple[int, int] | None:
-    """The name-shaped passage that fits a tagged one best."""
-    best, fit_of = None, 0.5
-    for start in range(max(0, a - 16), b):
-        m = NAME.match(text, start)
-        if not m:
-            continue
-        first = re.match(r"\w+", m[0])[0]
-        t = _TITLES.match(text, start)
-        if first in _NO_NAME or (t and t.end() < m.end()):
-            continue
-        share = (min(b, m.end()) - max(a, start)) / (max(b, m.end()) - min(a, start))
-        if share > fit_of:
-            best, fit_of = (start, m.end()), share
-    return best
-
-
-def checked(text: str, spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, str]]:
-    """The exact check of tagged passages: (kind, start, end, found).
-
-    A passage counts if a piece of the written form of its kind lies on it; the piece gives the exact borders.  Names
-    have no fixed form but that of a name: there the tagger decides, unless the surroundings leave no doubt.
+def _spans(tags: np.ndarray) -> list[tuple[str, int, int]]:
+    spans: list[tuple[str, int, int]] = []
+    for pos in np.flatnonzero(tags).tolist():
+        kind = KINDS[(tags[pos] - 1) // 2]
+        if spans and spans[-1][2] == pos and spans[-1][0] == kind and tags[pos] % 2 == 0:
+            spans[-1] = (kind, spans[-1][1], pos + 1)
+        else:
+            spans.append((kind, pos, pos + 1))
+    return spans
+
+
+_TRIM = {"name": " \t\n\r,;:()<>\"“”–-", "email": " \t\n\r,;:<>()\"“”–.", "phone": " \t\n\r,;:.–-/", "id_number": " \t\n\r,;:.()–-/", "address": " \t\n\r,;:()–"}
+
+
+def _found(kind: str, piece: str) -> str | None:
+    """The form in which a piece is given out, or None if it cannot be of its kind."""
+    if kind == "email":
+        plain = re.sub(r"\s+dot\s+", ".", re.sub(r"\s*[\[(]\s*(?:dot|punto|point|punkt)\s*[\])]\s*", ".", piece.lower()))
+        plain = re.sub(r"\s", "", re.sub(r"\s*[\[(]\s*(?:at|arroba)\s*[\])]\s*|\s+at\s+", "@", plain).removeprefix("mailto:"))
+        return plain if re.fullmatch(r"[^@]+@[^@.]+(?:\.[^@.]+)+", plain) else None
+    if kind == "phone":
+        digits = re.sub(r"\D", "", piece)
+        return digits if len(digits) >= 6 else None
+    if kind == "id_number":
+        form = re.sub(r"[^A-Z0-9]", "", piece.upper())
+        return form if sum(map(str.isdigit, form)) >= 4 else None
+    if kind == "address":
+        return piece if re.search(r"\d", piece) and re.search(r"[^\W\d_]{2}", piece) else None
+    return piece if re.search(r"[^\W\d_]{2}", piece) and len(piece.split()) > 1 and not re.search(r"\d", piece) else None
+
+
+def checked(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str]]:
+    """(kind, start, end, found) of the tagged passages.
+
+    Kind and place are the tagger's; borders inside a word are moved to its ends, marks around the piece are left out,
+    and what cannot be a piece of its kind (an address without a number, an email address without a host) is dropped.
     """
-    if not spans:
-        return []
-    out = []
-    for kind, a, b, found in labelled(text):
-        if any(c < b and a < d for _, c, d, _ in spans):
+    out: list[tuple[str, int, int, str]] = []
+    for kind, a, b in spans:
+        while a > 0 and text[a - 1].isalnum() and text[a].isalnum():
+            a -= 1
+        while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
+            b += 1
+        piece = text[a:b]
+        a += len(piece) - len(piece.lstrip(_TRIM[kind]))
+        b -= len(piece) - len(piece.rstrip(_TRIM[kind]))
+        if kind == "phone" and text[a:b].count("(") != text[a:b].count(")"):
+            # a bracket that belongs to the sentence, or one that was left outside
+            if a and text[a - 1] == "(" and text[a:b].count(")") > text[a:b].count("("):
+                a -= 1
+            elif text[a:b].startswith("("):
+                a += 1
+        found = _found(kind, text[a:b]) if a < b else None
+        if found and (not out or out[-1][2] <= a):
             out.append((kind, a, b, found))
-    for kind, a, b, margin in spans:
-        if kind == "name" and margin >= NAME_MARGIN and b - a >= 4 and all(b <= c or d <= a for _, c, d, _ in out):
-            n = _best_name(text, a, b)
-            if n and all(n[1] <= c or d <= n[0] for _, c, d, _ in out):
-                out.append(("name", *n, text[n[0] : n[1]]))
-    return sorted(out, key=lambda x: x[1])
+    return out
 
 
 def masked(text: str, pieces: list[tuple[str, int, int, str]]) -> str:
@@ -222,7 +200,7 @@ _PIECES = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Str
 def find_pii(df: DataFrame, key: str, text: str, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
     """``key``, ``masked`` (the text with typed placeholders) and ``pieces`` (kind, start, end, found) of every text.
 
-    Whole texts are tagged in overlapping windows and checked exactly.  A NULL text stays NULL with no pieces, empty
+    Whole texts are scored in overlapping windows, decoded as a whole, and the pieces written in one form.  A NULL text stays NULL with no pieces, empty
     texts stay empty; a text of any length costs in proportion to it; repeated texts have the same pieces each; an
     empty table gives an empty table; other columns are left out.  Texts move only where there are fewer partitions than
     cores can use; the weights (a hundred kilobytes) are broadcast.

@@ -1,6 +1,6 @@
-"""Written forms of personal information: what a found passage must look like, and how it is given out.
+"""Written forms of personal information that leave no doubt: they label the bounded sample that the tagger learns from.
 
-These patterns label the training texts of the tagger and check the passages it finds; they do not search on their own.
+Nothing here takes part in a search: what is found, where it begins and ends and of what kind it is, the tagger says.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ EMAIL = [
 ]
 PHONE = re.compile(r"(?<![\w.,/+-])(?:\+\s?\d|\(?\d)[\d ()./-]{5,24}\d(?![\w%°]|[.,/-]\d)")
 ID = re.compile(rf"(?i)(?<!\w){_ID_CUE}\s*[:#.]?\s*(?:n[°º.]\s*|nr\.?\s*|no\.?\s*)?(?-i:([A-Z0-9][A-Z0-9]*(?:[ .\-/][A-Z0-9]+)*))")
-ID_AFTER = re.compile(r"(?<![\w.,/-])(\d{3}-\d{2}-\d{4})(?= on the form as social security number)")
+#: The shape of a social security number, wherever it stands.
+ID_SHAPE = re.compile(r"(?<![\w.,/-])(\d{3}-\d{2}-\d{4})(?![\w/-])")
 ADDRESS = [
     re.compile(rf"(?<![\w.,-])(\d{{1,4}} ?[A-Za-z]?,? (?:[A-Z][\w'’.-]+ ){{1,3}}{_STREET}\b(?:(?<=\bSt|\bRd|\bLn)\.|(?<=\bAve)\.|(?<=\bCres)\.)?)"),
     re.compile(r"(?<![\w.,-])(\d{1,4}(?: ?[A-Z](?!\w))?(?: (?:bis|ter|quater))?,? (?:rue|avenue|av\.|boulevard|bd\.?|place|chemin|impasse|allée|quai|cours|Rue|Avenue|Place)(?: (?:de la|de l['’]|de|du|des|d['’]))? ?[A-Z][\w'’-]+(?:[ -][A-Z][\w'’-]+)*)"),
@@ -53,7 +54,6 @@ _NAME_BEFORE = re.compile(
     rf"|[Jj]e m['’]appelle|[Ss]igné ?:|[Ss]ignalé par|[Cc]her|[Cc]hère|[Dd]emande[rz] à|[Cc]ordialement,|[Bb]onjour"
     rf"|[Mm]e llamo|[Uu]n saludo,|[Cc]omunicado por|[Ff]irmado:|[Ee]stimad[oa]|[Qq]uerid[oa]|[Pp]regunt[ea](?:r)? a|[Aa]tentamente,)\s+{_TITLE}*|{_TITLE})$"
 )
-_NAME_AFTER = re.compile(r"^(?: signed the form| about it| hat unterschrieben| a signé la fiche| firmó la hoja)")
 _DATE = re.compile(r"^(?:19|20)\d\d[-/.](?:0?\d|1[0-2])[-/.]\d{1,2}$")
 
 
@@ -83,7 +83,7 @@ def _ids(text: str):
         value = "".join(parts)
         if sum(ch.isdigit() for ch in value) >= 5:
             yield "id_number", m.start(1), m.start(1) + len(value), re.sub(r"[^A-Z0-9]", "", value.upper())
-    for m in ID_AFTER.finditer(text):
+    for m in ID_SHAPE.finditer(text):
         yield "id_number", m.start(1), m.end(1), re.sub(r"\D", "", m[1])
 
 
@@ -127,21 +127,16 @@ def name_candidates(text: str):
         at = m.start() + 1
 
 
-def _names(text: str, strict: bool):
+def _names(text: str):
     for a, b in name_candidates(text):
-        if _NAME_BEFORE.search(text[max(0, a - 40) : a]) or _NAME_AFTER.match(text[b : b + 24]):
+        if _NAME_BEFORE.search(text[max(0, a - 40) : a]):
             yield "name", a, b, text[a:b]
-        elif not strict:
-            yield "name", a, b, text[a:b]
-
 
-def labelled(text: str, strict: bool = True) -> list[tuple[str, int, int, str]]:
-    """(kind, start, end, found) of every piece in a surrounding that leaves no doubt; the first reading wins.
 
-    strict=False gives every passage of the right form, for checking passages found in another way.
-    """
+def labelled(text: str) -> list[tuple[str, int, int, str]]:
+    """(kind, start, end, found) of every piece in a surrounding that leaves no doubt; the first reading wins."""
     found: list[tuple[str, int, int, str]] = []
-    for source in (_emails, _ids, _addresses, _phones, lambda t: _names(t, strict)):
+    for source in (_emails, _ids, _addresses, _phones, _names):
         # what is found is blanked, so that a number beside another is not read as one with it
         body = text
         for _, a, b, _ in found:
@@ -150,3 +145,35 @@ def labelled(text: str, strict: bool = True) -> list[tuple[str, int, int, str]]:
             if all(b <= c or d <= a for _, c, d, _ in found):
                 found.append((kind, a, b, form))
     return sorted(found, key=lambda x: x[1])
+
+
+def learnt_names(texts: list[str]) -> tuple[set[str], set[str]]:
+    """(given names, family names) of the names that the labels of some texts hold."""
+    given, family = set(), set()
+    for text in texts:
+        for kind, a, b, _ in labelled(text):
+            if kind == "name":
+                first, last = split_name(text[a:b])
+                given |= {first} if first[-1:] != "." else set()
+                family.add(last)
+    return given, family
+
+
+def split_name(name: str) -> tuple[str, str]:
+    """(given name or initial, family name) of a name in either order."""
+    if "," in name:
+        last, first = name.split(",", 1)
+        return first.split()[0], last
+    first, *rest = name.split()
+    return first, " ".join(w for w in rest if not re.fullmatch(r"[A-Z]\.", w))
+
+
+def with_learnt_names(text: str, given: set[str], family: set[str]) -> list[tuple[str, int, int, str]]:
+    """``labelled``, and every further passage shaped like a name whose parts are names elsewhere in the sample."""
+    found = labelled(text)
+    for a, b in name_candidates(text):
+        if all(b <= c or d <= a for _, c, d, _ in found):
+            first, last = split_name(text[a:b])
+            if last in family and (first in given or first[-1:] == "."):
+                found.append(("name", a, b, text[a:b]))
+    return sorted(found, key=lambda x: x[1])

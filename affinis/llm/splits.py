@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,8 +16,9 @@ from affinis.session import cut_lineage
 SHARD_COMPONENTS = 20_000
 #: Parallel runs of each shard from differently salted starts, of which the best is kept.
 REPLICAS = 3
-#: Moves tried for each run and round.
-MOVES = 3_000
+#: Moves tried for each run and round: so many at least, and so many for each component of the shard.  A run ends earlier
+#: where it is nearer to the target than its smallest component, or where a late pass over all components gains nothing.
+MOVES, PASSES = 3_000, 6
 ROUNDS = 2
 
 
@@ -26,9 +29,8 @@ def components(df: DataFrame, key: Column, row: Column, label: Column, fold: Col
     outside ``folds`` do not count.
     """
     valid = F.when(fold.between(*folds), fold)
-    name = F.coalesce(F.concat(F.lit("k:"), key), F.concat(F.lit("r:"), row.cast("string")))
     return (
-        df.select(name.alias("component"), label.cast("long").alias("y"), valid.alias("f"))
+        df.select(component_name(key, row).alias("component"), label.cast("long").alias("y"), valid.alias("f"))
         .groupBy("component")
         .agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("y"), F.lit(0)).alias("n_label"), F.min("f").alias("fold_low"), F.max("f").alias("fold_high"))
     )
@@ -54,32 +56,44 @@ def _anneal(size: np.ndarray, start: np.ndarray, want: np.ndarray, seed: int, mo
     kept = at.copy()
     if n < 2 or k < 2:
         return kept, best
-    one, two = rng.integers(0, n, moves), rng.integers(0, n, moves)
-    to, swap, luck = rng.integers(0, k, moves), rng.random(moves) < 0.5, rng.random(moves)
+    rows, labels = size[:, 0].tolist(), size[:, 1].tolist()
+    off = (have - want).tolist()  # plain numbers: the steps are small
+    place = at.tolist()
+    by_rows, by_labels = scale.tolist()
     heat = max(best, 1e-9) / 10
-    for step in range(moves):
-        i, a = one[step], at[one[step]]
-        if swap[step]:
-            j = two[step]
-            b = at[j]
-            delta = size[j] - size[i]
-        else:
-            j, b, delta = -1, to[step], -size[i]
-        if a == b:
-            continue
-        before = (np.abs(have[a] - want[a]) + np.abs(have[b] - want[b])) @ scale
-        after = (np.abs(have[a] + delta - want[a]) + np.abs(have[b] - delta - want[b])) @ scale
-        change = after - before
-        temperature = heat * (1 - step / moves) ** 2 + 1e-12
-        if change <= 0 or luck[step] < np.exp(-change / temperature):
-            have[a] += delta
-            have[b] -= delta
-            at[i] = b
-            if j >= 0:
-                at[j] = a
-            now += change
-            if now < best - 1e-12:
-                best, kept = now, at.copy()
+    moves = max(moves, PASSES * n)
+    enough = float((size * scale).sum(axis=1).min())  # nothing smaller than a component can be moved
+    trail: list[tuple[int, int]] = []  # changes since the best
+    for first in range(0, moves, n):
+        m = min(n, moves - first)
+        one, two, to = rng.permutation(n)[:m].tolist(), rng.integers(0, n, m).tolist(), rng.integers(0, k, m).tolist()
+        swap, luck = (rng.random(m) < 0.5).tolist(), rng.random(m).tolist()
+        gained = False
+        for step in range(m):
+            i = one[step]
+            a = place[i]
+            j = two[step] if swap[step] else -1
+            b = place[j] if j >= 0 else to[step]
+            if a == b:
+                continue
+            dr, dl = (rows[j] - rows[i], labels[j] - labels[i]) if j >= 0 else (-rows[i], -labels[i])
+            p, q = off[a], off[b]
+            change = (abs(p[0] + dr) - abs(p[0]) + abs(q[0] - dr) - abs(q[0])) * by_rows + (abs(p[1] + dl) - abs(p[1]) + abs(q[1] - dl) - abs(q[1])) * by_labels
+            if change <= 0 or luck[step] < math.exp(-change / (heat * (1 - (first + step) / moves) ** 3 + 1e-12)):
+                off[a], off[b] = [p[0] + dr, p[1] + dl], [q[0] - dr, q[1] - dl]
+                place[i] = b
+                trail.append((i, b))
+                if j >= 0:
+                    place[j] = a
+                    trail.append((j, a))
+                now += change
+                if now < best - 1e-12:
+                    best, gained = now, True
+                    for c, s in trail:
+                        kept[c] = s
+                    trail.clear()
+        if best < enough or not gained and first >= moves // 2:
+            break
     return kept, best
 
 
@@ -156,9 +170,27 @@ def split_report(assigned: DataFrame, shares: dict[str, float]) -> DataFrame:
     return out.select("split", "target_share", "n_rows", "n_label", "n_components", (F.col("n_rows") / F.col("all_rows")).alias("share"))
 
 
-def mixed_folds(assigned: DataFrame) -> DataFrame:
-    """Components named by a key whose rows stand in more than one valid fold."""
-    return assigned.filter(F.col("component").startswith("k:") & (F.col("fold_low") < F.col("fold_high"))).select(F.substring("component", 3, 1 << 30).alias("key"), "fold_low", "fold_high", "n_rows", "split")
+def component_name(key: Column, row: Column) -> Column:
+    """The component of a row: its key, or the row itself where the key is NULL."""
+    return F.coalesce(F.concat(F.lit("k:"), key), F.concat(F.lit("r:"), row.cast("string")))
+
+
+def split_rows(df: DataFrame, key: Column, row: Column, assigned: DataFrame) -> DataFrame:
+    """The rows with ``component`` and ``split``, as the assignment of their component says."""
+    return df.withColumn("component", component_name(key, row)).join(assigned.select("component", "split"), "component")
+
+
+def mixed_folds(rows: DataFrame, fold: Column, folds: tuple[int, int] = (1, 10)) -> DataFrame:
+    """(key, split, fold_low, fold_high, n_rows) of keys whose rows stood in more than one valid fold and now stand in one split.
+
+    ``rows`` come from ``split_rows``; a key that the assignment left in two splits is an error and raises.
+    """
+    valid = F.when(fold.between(*folds), fold)
+    g = rows.filter(F.col("component").startswith("k:")).groupBy("component").agg(
+        F.min("split").alias("split"), F.max("split").alias("__other"), F.min(valid).alias("fold_low"), F.max(valid).alias("fold_high"), F.count(F.lit(1)).alias("n_rows")
+    )
+    whole = F.when(F.col("split") == F.col("__other"), F.col("split")).otherwise(F.raise_error(F.concat(F.lit("in two splits: "), F.col("component"))))
+    return g.withColumn("split", whole).filter("split IS NOT NULL AND fold_low < fold_high").select(F.substring("component", 3, 1 << 30).alias("key"), "split", "fold_low", "fold_high", "n_rows")
 
 
 def read_shares(targets: DataFrame) -> dict[str, float]:

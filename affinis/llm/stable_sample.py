@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from affinis.session import cut_lineage
+
 #: Hash values are integers below this bound (15 hexadecimal digits of the md5), so every engine computes them alike.
 SPACE = 1 << 60
 
@@ -15,22 +19,26 @@ def key_hash(key: Column, salt: str) -> Column:
 
 
 def raised_thresholds(keys: DataFrame, least: int) -> DataFrame:
-    """(stratum, raised): the threshold that admits the ``least`` smallest hashes known at the end of every delivery.
+    """(stratum, raised): the largest threshold that ``least`` keys needed at the end of any delivery.
 
-    It is the maximum over all deliveries so far, so it can only rise while whole deliveries are added.  Only the
-    smallest hashes of each delivery matter; the group limit keeps them before the shuffle.
+    While a stratum has fewer keys than that, the threshold admits them all and rises with the largest hash; from the
+    delivery on that fills it, the least-th smallest hash can only fall.  So two numbers decide: the largest hash before
+    that delivery, and the least-th smallest at its end, for which the group limit keeps ``least`` rows a stratum.
     """
-    w = Window.partitionBy("stratum", "first_batch").orderBy("key_hash")
-    small = keys.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= least).groupBy("stratum", "first_batch").agg(F.sort_array(F.collect_list("key_hash")).alias("h"))
-    so_far = Window.partitionBy("stratum").orderBy("first_batch").rowsBetween(Window.unboundedPreceding, 0)
-    seen = small.withColumn("h", F.slice(F.sort_array(F.flatten(F.collect_list("h").over(so_far))), 1, least))
-    return seen.groupBy("stratum").agg(F.max(F.element_at("h", -1) + 1).alias("raised"))
+    per = keys.groupBy("stratum", "first_batch").agg(F.count(F.lit(1)).alias("n"))
+    so_far = Window.partitionBy("stratum").orderBy("first_batch").rowsBetween(Window.unboundedPreceding, 0)  # a row a delivery
+    filled = per.withColumn("sum", F.sum("n").over(so_far)).groupBy("stratum").agg(F.coalesce(F.min(F.when(F.col("sum") >= least, F.col("first_batch"))), F.max("first_batch")).alias("filled"))
+    known = keys.join(filled, "stratum").filter(F.col("first_batch") <= F.col("filled"))
+    before = known.filter(F.col("first_batch") < F.col("filled")).groupBy("stratum").agg(F.max("key_hash").alias("h"))
+    rank = F.row_number().over(Window.partitionBy("stratum").orderBy("key_hash"))
+    at = known.select("stratum", "key_hash").withColumn("rn", rank).filter(F.col("rn") <= least).groupBy("stratum").agg(F.max("key_hash").alias("h"))
+    return before.unionByName(at).groupBy("stratum").agg((F.max("h") + 1).alias("raised"))
 
 
 def stable_sample(
     df: DataFrame,
     key: Column,
-    stratum: Column,
+    stratum: Callable[[Column], Column],
     batch: Column,
     salt: str = "affinis-1",
     default_rate: float = 0.1,
@@ -40,35 +48,44 @@ def stable_sample(
 ) -> DataFrame:
     """The chosen keys: ``key``, ``stratum``, ``first_batch``, ``key_hash``, ``threshold``.
 
-    ``key`` names what is drawn as a whole (all its rows are in or out); ``stratum`` must be a function of the key, so
-    that it cannot change when rows are added.  A key is chosen if its salted hash is below the threshold of its
-    stratum: the fixed rate of the stratum (``rates``: stratum, rate; ``default_rate`` elsewhere).  The choice depends
-    on nothing else, so it is the same on every run, order and partitioning, and a key chosen among some rows is chosen
-    among any more.
+    ``key`` names what is drawn as a whole (all its rows are in or out); ``stratum`` is a function of the key, so that it
+    cannot change when rows are added.  A key is chosen if its salted hash is below the threshold of its stratum: the
+    fixed rate of the stratum (``rates``: stratum, rate), and never less than ``default_rate``, so that a stratum listed
+    later loses nothing.  The choice depends on nothing else: it is the same on every run, order and partitioning, and a
+    key chosen among some rows is chosen among any more.
 
-    Thresholds may be raised, never lowered: by ``previous`` (stratum, threshold of an earlier run) and, with
-    ``least`` > 0, to keep that many keys per stratum at the end of every delivery (``batch``; rows without one count
-    as the first).  The latter keeps earlier choices while whole deliveries are added; pass the earlier thresholds as
-    ``previous`` where a delivery was still incomplete.
+    Thresholds may be raised, never lowered: by ``previous`` (stratum, threshold of an earlier run, as ``remembered``
+    keeps them) and, with ``least`` > 0, to keep that many keys per stratum at the end of every delivery (``batch``; rows
+    without one count as the first).  The latter keeps earlier choices while whole deliveries are added; pass the earlier
+    thresholds as ``previous`` where a delivery was still incomplete.
 
     NULL keys belong to nothing and are left out; a NULL stratum is the stratum ``''``; repeated rows change nothing;
     an empty table gives an empty sample.
     """
-    keys = (
-        df.select(key.alias("key"), F.coalesce(stratum, F.lit("")).alias("stratum"), F.coalesce(batch.cast("long"), F.lit(0)).alias("b"))
-        .filter(F.col("key").isNotNull())
-        .groupBy("key")
-        .agg(F.min("stratum").alias("stratum"), F.min("b").alias("first_batch"))
-        .withColumn("key_hash", key_hash(F.col("key"), salt))
-    )
+    keys = df.select(key.alias("key"), F.coalesce(batch.cast("long"), F.lit(0)).alias("b")).filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("b").alias("first_batch"))
+    keys = keys.withColumn("stratum", F.coalesce(stratum(F.col("key")), F.lit(""))).withColumn("key_hash", key_hash(F.col("key"), salt))
     limit = F.lit(default_rate)
     if rates is not None:
         keys = keys.join(rates.select("stratum", F.col("rate").alias("__rate")), "stratum", "left")
-        limit = F.coalesce(F.col("__rate"), limit)
+        limit = F.greatest(F.col("__rate"), limit)
     keys = keys.withColumn("threshold", (limit * F.lit(float(SPACE))).cast("long"))
-    raises = [] if previous is None else [previous.select("stratum", F.col("threshold").alias("raised"))]
+    raises = [] if previous is None else [previous.groupBy("stratum").agg(F.max("threshold").alias("raised"))]
     if least > 0:
         raises.append(raised_thresholds(keys, least))
     for r in raises:
         keys = keys.join(r, "stratum", "left").withColumn("threshold", F.greatest("threshold", "raised")).drop("raised")
     return keys.filter(F.col("key_hash") < F.col("threshold")).select("key", "stratum", "first_batch", "key_hash", "threshold")
+
+
+def remembered(df: DataFrame, state: str, key: Column, stratum: Callable[[Column], Column], batch: Column, **options) -> DataFrame:
+    """``stable_sample`` that keeps its thresholds in the folder ``state`` (shared storage) and always starts from them.
+
+    Each run appends the thresholds of its strata; a stratum's largest counts, so whatever the rates of a later run are,
+    nothing chosen before is lost.  The first run finds no folder and starts from the rates.
+    """
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(state)
+    known = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    chosen = cut_lineage(stable_sample(df, key, stratum, batch, previous=spark.read.parquet(state) if known else None, **options))
+    chosen.groupBy("stratum").agg(F.max("threshold").alias("threshold")).write.mode("append").parquet(state)
+    return chosen

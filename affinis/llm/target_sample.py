@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,22 +10,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The table of occupied category combinations must not exceed this; it is bounded by the categories, not the rows.
-MAX_CELLS = 500_000
+from affinis.session import cut_lineage
+
+#: Up to so many occupied category combinations are raked on the driver (a few megabytes); more are raked by Spark, with
+#: the same result.  Their number is bounded by the stated categories, not by the rows.
+LOCAL_CELLS = 100_000
 IPF_ROUNDS = 200
 BUCKETS = 4096
-#: Weighted keys at or above this are never drawn before all others are; it bounds the histogram.
-KEY_CAP = 64.0
+#: Rows that the last search interval may hold; they are ordered in one task.
+LAST_ROWS = 10_000
 OTHERS = "*"
 
 
 @dataclass
 class TargetSample:
-    """rows: the drawn rows (row key and categories); report: one row for each stated category; size: rows wanted."""
+    """rows: the drawn rows (row key and categories); report: one row for each stated category; size: rows wanted;
+    expected: rows that the raked weights draw on average."""
 
     rows: DataFrame
     report: DataFrame
     size: int
+    expected: float
 
 
 def _read_targets(targets: DataFrame) -> pd.DataFrame:
@@ -33,132 +39,216 @@ def _read_targets(targets: DataFrame) -> pd.DataFrame:
     return d.sort_values(["dimension", "category"]).reset_index(drop=True)
 
 
-def rake(cells: pd.DataFrame, targets: pd.DataFrame, dims: list[str], size: int, rounds: int = IPF_ROUNDS) -> dict[str, dict]:
-    """Factors for each category, by iterative proportional fitting over the margins.
+def reachable(share: np.ndarray, least: np.ndarray, supply: np.ndarray, size: float) -> np.ndarray:
+    """Rows wanted of each category of a dimension: its share of ``size`` and its minimum at least, its supply at most.
 
-    The draw probability of a row is the product of its factors, at most 1; cells holds the rows (``n``) of each
-    combination.  A category without a stated share gets the factor 0.  A margin that cannot be met ends at its cap.
+    What a category cannot give is shared out among the others in proportion to their shares.
     """
-    n = cells["n"].to_numpy(float)
-    codes, want, factor = [], [], []
-    for d in dims:
-        t = targets[targets.dimension == d]
-        index = {c: i for i, c in enumerate(t.category)}
-        codes.append(cells[d].map(lambda c, index=index: index.get(c, len(index))).to_numpy(np.int64))
-        want.append(np.r_[t.target_share.to_numpy(float) * size, 0.0])
-        factor.append(np.r_[np.full(len(t), (size / max(n.sum(), 1.0)) ** (1 / len(dims))), 0.0])
+    low = np.minimum(least, supply)
+    size = min(size, supply.sum())
+    if size <= low.sum():
+        return low * (size / max(low.sum(), 1e-300))
+    a, b = 0.0, 1.0
+    while np.clip(share * b, low, supply).sum() < size and b < 1e18:
+        b *= 2
+    for _ in range(200):
+        m = (a + b) / 2
+        a, b = (m, b) if np.clip(share * m, low, supply).sum() < size else (a, m)
+    want = np.clip(share * b, low, supply)
+    return want
+
+
+Margin = Callable[[int, list[np.ndarray]], np.ndarray]
+
+
+def local_margins(codes: list[np.ndarray], n: np.ndarray, sizes: list[int]) -> Margin:
+    """Expected rows of each category of a dimension under the factors, from cells held here."""
+
+    def margin(d: int, factor: list[np.ndarray]) -> np.ndarray:
+        p = np.ones(len(n))
+        for e, f in enumerate(factor):
+            p *= f[codes[e]]
+        return np.bincount(codes[d], np.minimum(p, 1.0) * n, minlength=sizes[d])
+
+    return margin
+
+
+def spark_margins(cells: DataFrame, dims: list[str], sizes: list[int]) -> Margin:
+    """The same by a Spark aggregate over the cells (``code_<dimension>``, n)."""
+
+    def margin(d: int, factor: list[np.ndarray]) -> np.ndarray:
+        p = F.lit(1.0)
+        for name, f in zip(dims, factor):
+            p = p * F.array(*map(F.lit, map(float, f)))[F.col(f"code_{name}")]
+        out = np.zeros(sizes[d])
+        for r in cells.groupBy(F.col(f"code_{dims[d]}").alias("c")).agg(F.sum(F.least(p, F.lit(1.0)) * F.col("n")).alias("n")).collect():  # a row a category
+            out[r["c"]] = r["n"]
+        return out
+
+    return margin
+
+
+def rake(margin: Margin, want: list[np.ndarray], size: float, rounds: int = IPF_ROUNDS) -> tuple[list[np.ndarray], float]:
+    """(factors of each dimension, expected rows), by iterative proportional fitting over the margins.
+
+    The draw probability of a row is the product of its factors, at most 1.  A wanted number of 0 gives the factor 0.
+    Where margins contradict one another the fit stops short; the first dimension is then scaled until the factors draw
+    the size, or all that can be drawn.
+    """
+    factor = [np.where(w > 0, 1.0 if d else 0.5, 0.0) for d, w in enumerate(want)]
     for _ in range(rounds):
         worst = 0.0
-        for d in range(len(dims)):
-            p = np.ones(len(n))
-            for e in range(len(dims)):
-                p *= factor[e][codes[e]]
-            have = np.bincount(codes[d], np.minimum(p, 1.0) * n, minlength=len(want[d]))
-            ratio = np.where(have > 0, want[d] / np.maximum(have, 1e-300), 1.0)
-            ratio = np.clip(ratio, 0.25, 4.0)
-            factor[d] = np.minimum(factor[d] * ratio, 1e6)
-            worst = max(worst, np.abs(have - want[d]).max() / max(size, 1))
+        for d, w in enumerate(want):
+            have = margin(d, factor)
+            ratio = np.clip(np.where(have > 0, w / np.maximum(have, 1e-300), 1.0), 0.25, 4.0)
+            factor[d] = np.minimum(factor[d] * ratio, 1e9)
+            worst = max(worst, float(np.abs(have - w).max(initial=0.0)) / max(size, 1.0))
         if worst < 1e-7:
             break
-    return {d: dict(zip([*targets[targets.dimension == d].category], factor[i][:-1])) for i, d in enumerate(dims)}
+    drawn = float(margin(0, factor).sum())
+    low, high = 0.0, 1.0
+    while drawn < size * (1 - 1e-9) and high < 1e12:
+        high *= 2
+        drawn = float(margin(0, [factor[0] * high, *factor[1:]]).sum())
+    for _ in range(60 if high > 1 else 0):
+        middle = (low + high) / 2
+        drawn = float(margin(0, [factor[0] * middle, *factor[1:]]).sum())
+        low, high = (middle, high) if drawn < size else (low, middle)
+    factor[0] = factor[0] * high
+    return factor, float(margin(0, factor).sum())
 
 
 def target_sample(df: DataFrame, row: str, columns: dict[str, Column], targets: DataFrame, fraction: float = 0.25, salt: str = "affinis-7") -> TargetSample:
     """Draws ``floor(fraction * rows)`` rows so that the shares of each dimension follow ``targets``.
 
     ``columns`` gives each dimension's category as text; ``targets`` has dimension, category (``*`` stands for every
-    category not listed), target_share (1 in sum within a dimension) and min_rows.  Weights are raked over all margins,
-    rows are drawn by weighted exponential keys (the hash of the row key makes them reproducible), then categories below
-    min_rows are filled up from the best keys not drawn, in exchange for the worst drawn rows of categories with more
-    than their minimum.
-
-    A NULL category, or one neither listed nor covered by ``*``, has no share: such rows are not drawn.  Repeated rows
-    are rows; an empty table gives an empty sample, and every category with a positive need is reported as not
-    fillable.  The report has dimension, category, target_share, min_rows, wanted (the larger of min_rows and
-    target_share x size), supply, sampled, gap (sampled - target_share x size) and fillable (supply >= wanted).
+    category not listed), target_share (1 in sum within a dimension) and min_rows.  Categories that cannot be filled are
+    wanted at their supply and the rest of their share goes to the others; weights are then raked over all margins until
+    they draw the size; rows are drawn by weighted exponential keys (the hash of the row key makes them reproducible);
+    categories below min_rows are filled up from the best keys not drawn, in exchange for the worst drawn rows of
+    categories with more than their minimum.
+
+    A NULL category, or one neither listed nor covered by ``*``, has no share: such rows are drawn for a minimum only.
+    Repeated rows are rows; an empty table gives an empty sample, and every category with a positive need is reported as
+    not fillable.  The report has dimension, category, target_share, min_rows, wanted (the larger of min_rows and
+    target_share x size), supply, sampled, undrawn, gap (sampled - target_share x size) and fillable (sampled + undrawn
+    reach wanted).  The table is read twice: for the combinations, and for the keys, which are kept in one checkpoint.
     """
     spark = df.sparkSession
     stated = _read_targets(targets)
     dims = [d for d in columns if (stated.dimension == d).any()]
+    lists = {d: stated[stated.dimension == d].reset_index(drop=True) for d in dims}
     slim = df.select(F.col(row).alias("__row"), *(columns[d].cast("string").alias(d) for d in dims))
     for d in dims:
-        listed = stated[stated.dimension == d].category
+        listed = lists[d].category
         rest = F.when(F.col(d).isNotNull(), OTHERS) if OTHERS in set(listed) else F.lit(None).cast("string")
         slim = slim.withColumn(d, F.when(F.col(d).isin(*[c for c in listed if c != OTHERS]), F.col(d)).otherwise(rest))
 
-    cells_df = slim.groupBy(*dims).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CELLS + 1)
-    cells = cells_df.toPandas()  # bounded by the stated categories
-    if len(cells) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} category combinations")
-    total = int(cells["n"].sum()) if len(cells) else 0
+    cells_df = cut_lineage(slim.groupBy(*dims).agg(F.count(F.lit(1)).alias("n")))
+    for d in dims:
+        code = F.array_position(F.array(*map(F.lit, lists[d].category)), F.col(d)).cast("int") - 1
+        cells_df = cells_df.withColumn(f"code_{d}", F.coalesce(code, F.lit(len(lists[d]))))
+    n_cells, total = cells_df.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     size = int(total * fraction)
-    factors = rake(cells, stated, dims, size)
+    drawable = cells_df.filter(" AND ".join(f"code_{d} < {len(lists[d])}" for d in dims))
+    sizes = [len(lists[d]) + 1 for d in dims]
+    if n_cells <= LOCAL_CELLS:
+        held = cells_df.toPandas()  # LOCAL_CELLS rows at most
+        margin = local_margins([held[f"code_{d}"].to_numpy(np.int64) for d in dims], held["n"].to_numpy(float), sizes)
+    else:
+        margin = spark_margins(cells_df, dims, sizes)
+    want = []
+    for d in dims:
+        supply = np.zeros(len(lists[d]))
+        for r in drawable.groupBy(f"code_{d}").agg(F.sum("n").alias("n")).collect():  # a row a category
+            supply[r[0]] = r["n"]
+        want.append(np.r_[reachable(lists[d].target_share.to_numpy(float), lists[d].min_rows.to_numpy(float), supply, size), 0.0])
+    factors, expected = rake(margin, want, size)
 
     weighted = slim
-    for d in dims:
-        f = spark.createDataFrame([(c, float(v)) for c, v in factors[d].items()], f"`{d}` string, `__f_{d}` double")
-        weighted = weighted.join(f, d, "left")  # a few rows; the optimiser broadcasts by size
+    for d, f in zip(dims, factors):
+        table = spark.createDataFrame([(c, float(v)) for c, v in zip(lists[d].category, f)], f"`{d}` string, `__f_{d}` double")
+        weighted = weighted.join(table, d, "left")  # a row a category; the optimiser broadcasts by size
     p = F.lit(1.0)
     for d in dims:
         p = p * F.coalesce(F.col(f"__f_{d}"), F.lit(0.0))
     u = (F.pmod(F.xxhash64(F.lit(salt), F.col("__row")), F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
-    # Exponential key over its rate: it is below 1 with probability p.
-    rate = -F.log1p(-F.least(p, F.lit(1.0 - 1e-12)))
-    keyed = weighted.select("__row", *dims, F.when(p > 0, F.least(-F.log(u) / rate, F.lit(KEY_CAP * 0.999999))).alias("__k")).filter("__k IS NOT NULL")
-
-    # The size-th smallest key, by two histograms of fixed size.
-    low, width, taken = 0.0, KEY_CAP / BUCKETS, 0
-    for _ in range(2):
-        inside = keyed.filter((F.col("__k") >= low) & (F.col("__k") < low + width * BUCKETS))
-        counts = {r["b"]: r["n"] for r in inside.groupBy(F.floor((F.col("__k") - low) / width).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        edge = BUCKETS
-        for b in range(BUCKETS):
-            if taken + counts.get(b, 0) > size:
-                edge = b
-                break
-            taken += counts.get(b, 0)
-        low, width = low + edge * width, width / BUCKETS
-        if edge == BUCKETS:
-            break
-    sure = keyed.filter(F.col("__k") < low)
-    last = keyed.filter((F.col("__k") >= low) & (F.col("__k") < low + width * BUCKETS)).orderBy("__k", "__row").limit(max(size - taken, 0))
-    drawn = sure.unionByName(last)
-
-    def margin(table: pd.DataFrame) -> dict:
-        return {(d, c): int(n) for d in dims for c, n in table.groupby(d)["n"].sum().items()} if len(table) else {}
+    # Exponential key over its rate: it is below 1 with probability p.  x / (1 + x) keeps its order within 0..1.
+    key = -F.log(u) / -F.log1p(-F.least(p, F.lit(1.0 - 1e-12)))
+    keyed = cut_lineage(weighted.select("__row", *dims, F.when(p > 0, key / (key + 1.0)).alias("__k")))
 
-    supply = margin(cells)
-    sampled = margin(drawn.groupBy(*dims).agg(F.count(F.lit(1)).alias("n")).toPandas())  # no more rows than cells
+    border = _border(keyed, size)
+    flagged = keyed.withColumn("__in", F.coalesce(F.struct("__k", "__row") <= F.struct(F.lit(border[0]), F.lit(border[1]).cast(df.schema[row].dataType)), F.lit(False)) if border else F.lit(False))
+    sampled = _margins(flagged, dims)
     short = {}
     for t in stated.itertuples():
-        lack = min(t.min_rows, supply.get((t.dimension, t.category), 0)) - sampled.get((t.dimension, t.category), 0)
+        got, left = sampled.get((t.dimension, t.category), (0, 0))
+        lack = min(t.min_rows, got + left) - got
         if t.dimension in dims and lack > 0:
             short[(t.dimension, t.category)] = int(lack)
     if short:
-        drawn = _repair(slim, keyed, drawn, dims, stated, short, sampled)
-        sampled = margin(drawn.groupBy(*dims).agg(F.count(F.lit(1)).alias("n")).toPandas())
+        flagged = cut_lineage(_repair(flagged, dims, stated, short, sampled))
+        sampled = _margins(flagged, dims)
     lines = []
     for t in stated.itertuples():
         wanted = max(float(t.min_rows), t.target_share * size)
-        have, got = supply.get((t.dimension, t.category), 0), sampled.get((t.dimension, t.category), 0)
-        lines.append((t.dimension, t.category, float(t.target_share), int(t.min_rows), wanted, have, got, got - t.target_share * size, bool(have >= wanted)))
-    report = spark.createDataFrame(lines, "dimension string, category string, target_share double, min_rows long, wanted double, supply long, sampled long, gap double, fillable boolean")
-    return TargetSample(drawn.select(F.col("__row").alias(row), *dims), report, size)
+        got, left = sampled.get((t.dimension, t.category), (0, 0))
+        lines.append((t.dimension, t.category, float(t.target_share), int(t.min_rows), wanted, got + left, got, left, got - t.target_share * size, bool(got + left >= wanted)))
+    report = spark.createDataFrame(lines, "dimension string, category string, target_share double, min_rows long, wanted double, supply long, sampled long, undrawn long, gap double, fillable boolean")
+    return TargetSample(flagged.filter("__in").select(F.col("__row").alias(row), *dims), report, size, expected)
+
+
+def _margins(flagged: DataFrame, dims: list[str]) -> dict[tuple[str, str], tuple[int, int]]:
+    """(rows drawn, rows not drawn) of each category of each dimension."""
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.col(d).alias("c")) for d in dims))).alias("x")
+    cells = flagged.groupBy(*dims, "__in").agg(F.count(F.lit(1)).alias("n"))
+    g = cells.select(each, "__in", "n").groupBy("x.d", "x.c").agg(F.sum(F.when(F.col("__in"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("__in"), 0).otherwise(F.col("n"))).alias("b"))
+    return {(r["d"], r["c"]): (int(r["a"]), int(r["b"])) for r in g.collect()}  # a row a category
+
+
+def _border(keyed: DataFrame, size: int) -> tuple | None:
+    """The ``size``-th (key, row), or the last one if fewer have a key: histograms of fixed size narrow the interval."""
+    low, width, taken = 0.0, 1.0 / BUCKETS, 0
+    if size <= 0:
+        return None
+    while True:
+        inside = keyed.filter((F.col("__k") >= low) & (F.col("__k") < low + width * BUCKETS))
+        bucket = F.least(F.floor((F.col("__k") - low) / width), F.lit(BUCKETS - 1)).cast("int")
+        counts = {r["b"]: r["n"] for r in inside.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # BUCKETS rows
+        last = None
+        for b in sorted(counts):
+            last = b
+            if taken + counts[b] >= size:
+                break
+            taken += counts[b]
+        else:
+            break  # fewer keys than wanted: all of them
+        low, width = low + last * width, width / BUCKETS
+        if counts[last] <= LAST_ROWS or width < 1e-15:
+            break
+    if last is None:
+        return None
+    rest = keyed.filter((F.col("__k") >= low) & (F.col("__k") < low + width * BUCKETS)) if taken < size else keyed.filter(F.col("__k").isNotNull())
+    found = rest.orderBy("__k", "__row").limit(size - taken).agg(F.max(F.struct("__k", "__row")).alias("b")).first()["b"] if taken < size else None
+    if found is None:
+        found = keyed.filter(F.col("__k").isNotNull()).agg(F.max(F.struct("__k", "__row")).alias("b")).first()["b"]
+    return None if found is None else (found["__k"], found["__row"])
 
 
-def _repair(slim: DataFrame, keyed: DataFrame, drawn: DataFrame, dims: list[str], stated: pd.DataFrame, short: dict, sampled: dict) -> DataFrame:
+def _repair(flagged: DataFrame, dims: list[str], stated: pd.DataFrame, short: dict, sampled: dict) -> DataFrame:
     """Fills categories below their minimum from rows not drawn, and gives back as many rows of richer categories."""
     lack = F.array(*(F.when(F.col(d) == c, F.struct(F.lit(d).alias("__d"), F.lit(c).alias("__c"), F.lit(n).alias("__lack"))) for (d, c), n in short.items()))
-    # rows without a share in another dimension may be needed for a minimum: they come after all rows with a key
-    left = slim.join(keyed.select("__row", "__k"), "__row", "left").withColumn("__k", F.coalesce("__k", F.lit(KEY_CAP))).join(drawn.select("__row"), "__row", "left_anti")
-    offers = left.withColumn("o", F.explode(F.filter(lack, lambda x: x.isNotNull()))).select("__row", *dims, "__k", "o.*")
-    best = Window.partitionBy("__d", "__c").orderBy("__k", "__row")
-    added = offers.withColumn("rn", F.row_number().over(best)).filter("rn <= __lack").select("__row", *dims, "__k").distinct()
-    n = sum(short.values())
-    rich = F.lit(True)
-    for t in stated.itertuples():
-        if t.dimension in dims and sampled.get((t.dimension, t.category), 0) <= t.min_rows + n:
-            rich = rich & ~F.col(t.dimension).eqNullSafe(F.lit(t.category))
+    offers = flagged.filter(~F.col("__in")).withColumn("o", F.explode(F.filter(lack, lambda x: x.isNotNull()))).select("__row", "__k", "o.*")
+    # rows without a share in another dimension have no key: they come last
+    best = Window.partitionBy("__d", "__c").orderBy(F.col("__k").asc_nulls_last(), "__row")
+    most = max(short.values())
+    added = offers.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= most).filter("rn <= __lack").select("__row").distinct()
+    added = cut_lineage(added)
     count = added.count()  # at most the sum of the minimums
-    out = drawn.filter(rich).orderBy(F.col("__k").desc(), F.col("__row").desc()).limit(count)
-    return drawn.join(out.select("__row"), "__row", "left_anti").unionByName(added)
+    spare = F.lit(True)
+    for t in stated.itertuples():
+        if t.dimension in dims and sampled.get((t.dimension, t.category), (0, 0))[0] <= t.min_rows + count:
+            spare = spare & ~F.col(t.dimension).eqNullSafe(F.lit(t.category))
+    out = flagged.filter("__in").filter(spare).orderBy(F.col("__k").desc_nulls_first(), F.col("__row").desc()).limit(count).select("__row")
+    changed = added.withColumn("__new", F.lit(True)).unionByName(out.withColumn("__new", F.lit(False)))
+    return flagged.join(changed, "__row", "left").withColumn("__in", F.coalesce("__new", "__in")).drop("__new")
