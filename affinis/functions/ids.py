@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 def molecule_key(c: Column) -> Column:
-    """``CHEMBL`` plus digits, whatever the case, blanks or separators between and around them.
+    """``CHEMBL`` plus digits without leading zeros, whatever the case, blanks or separators between and around them.
 
     Ids of another make are only trimmed and upper-cased.  NULL and blank ids give NULL.
     """
-    t = F.upper(F.regexp_replace(c, r"[\s:_\-]+", ""))
+    t = F.regexp_replace(F.upper(F.regexp_replace(c, r"[\s:_\-]+", "")), "^CHEMBL0+([0-9])", "CHEMBL$1")
     return F.when(t.rlike(r"^[A-Z0-9]+$"), t).otherwise(F.nullif(F.trim(F.upper(c)), F.lit("")))
 
 

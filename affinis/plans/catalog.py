@@ -33,8 +33,8 @@ def _r(c: str, n: int = 6) -> Column:
 
 # ------------------------------------------------------------------------------------------------ curation
 
-_ACT_SQL = """
-act AS (SELECT activity_id, molregno, upper(regexp_replace(mol_chembl_id, '[\\s:_\\-]+', '', 'g')) AS mol, target_chembl_id, organism, standard_type, publication_year,
+_ACT_SQL = f"""
+act AS (SELECT activity_id, molregno, {MOLECULE_SQL} AS mol, target_chembl_id, organism, standard_type, publication_year,
   CASE WHEN isnan(standard_value) THEN NULL
     WHEN lower(trim(standard_units, ' ')) IN ('nm', 'nanomolar') THEN standard_value * 1e-3
     WHEN lower(trim(standard_units, ' ')) IN ('um', 'µm', 'μm', 'micromolar') THEN standard_value * 1.0::DOUBLE
@@ -619,7 +619,7 @@ def avg_precision(spark, sf_dir):
     return a.withColumn("average_precision", F.round("average_precision", 9))
 
 
-@query(f"""WITH v AS (SELECT ha_bin AS b, avg(CASE WHEN isnan(activity_um) THEN NULL ELSE activity_um END) AS v FROM final_training_meta WHERE ha_bin % 3 = 0 GROUP BY 1 HAVING v IS NOT NULL),
+@query(f"""WITH v AS (SELECT ha_bin AS b, avg(CASE WHEN isnan(activity_um) THEN NULL ELSE activity_um END) AS v FROM final_training_meta WHERE ha_bin IS NOT NULL GROUP BY 1 HAVING v IS NOT NULL),
 w AS (SELECT k AS bin, b, v, abs(k - b) AS d, CASE WHEN abs(k - b) <= 6 THEN exp(-((k - b) * (k - b)) / 4.5::DOUBLE) END AS w FROM range(10, 61) t(k), v)
 SELECT bin::INTEGER AS bin, round(coalesce(sum(w * v) / sum(w), arg_min(v, (d, b))), 6) AS smoothed FROM w GROUP BY 1""")
 def coef_smooth(spark, sf_dir):

@@ -35,7 +35,7 @@ def p4_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p3_found": p3_found, "p3_by_type": p3_by_type, "p4_found": p4_found, "p4_targets": p4_targets}
 
 PAIR_SQL = r"nullif(regexp_replace(upper(trim(regexp_replace(pair_id, '\s+', ' ', 'g'))), '^(CHEMBL)[ :_\-]?([0-9]+)[^A-Z0-9]+(CHEMBL)[ :_\-]?([0-9]+)$', '\1\2_\3\4'), '')"
-MOLECULE_SQL = r"upper(regexp_replace(mol_chembl_id, '[\s:_\-]+', '', 'g'))"
+MOLECULE_SQL = r"regexp_replace(upper(regexp_replace(mol_chembl_id, '[\s:_\-]+', '', 'g')), '^CHEMBL0+([0-9])', 'CHEMBL\1')"
 
 _UNIT_FACTORS = {
     1e-9: "nm nmol/l nmoll-1 nanomolar 10'-9mol/l", 1e-6: "um umol/l umoll-1 micromolar 10^-6m", 1e-3: "mm mmol/l mmoll-1 millimolar 10^-3m",
