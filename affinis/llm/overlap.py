@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from affinis.llm.scaffold_text import atoms, canonical_tokens
+from affinis.llm.scaffold_text import canonical_tokens, elements
 from affinis.session import cut_lineage
 
 #: Atoms that may be changed, added or missing between almost equal scaffolds.
@@ -24,6 +24,8 @@ RARITY_BUCKETS = 1 << 16
 BAND = 5
 #: Chains up to this length are compared inside the join; longer ones after it, once for each pair.
 SHORT_CHAIN = 256
+#: Rows of one class that a task pairs with as many of another class.
+PAIR_BLOCK = 1000
 
 _GRAMS = T.ArrayType(T.StructType([T.StructField("gram", T.LongType()), T.StructField("pos", T.IntegerType())]))
 
@@ -111,14 +113,18 @@ def _one_letter(atom: str) -> str:
     return atom if len(atom) == 1 else chr(0xF0000 + hash_text(atom) % 131_000)
 
 
-@F.pandas_udf(T.StructType([T.StructField("canon", T.StringType()), T.StructField("atoms", T.StringType()), T.StructField("code", T.StringType())]))
+_WRITTEN = T.StructType([T.StructField(c, T.StringType()) for c in ("body", "rings", "atoms", "code")])
+
+
+@F.pandas_udf(_WRITTEN)
 def _write(scaffold: pd.Series) -> pd.DataFrame:
+    """body: elements and ring numbers; rings: the latter; atoms: the elements; code: one letter for each element."""
     rows = []
     for s in scaffold:
-        t = canonical_tokens(s)
-        chain = atoms(t)
-        rows.append(("".join(t) or None, " ".join(chain) or None, "".join(map(_one_letter, chain)) or None))
-    return pd.DataFrame(rows, columns=["canon", "atoms", "code"])
+        body, rings = elements(canonical_tokens(s))
+        chain = [t for t in body if "@" not in t]
+        rows.append((" ".join(body), " ".join(rings), " ".join(chain), "".join(map(_one_letter, chain))) if chain else (None,) * 4)
+    return pd.DataFrame(rows, columns=_WRITTEN.names)
 
 
 # Not deterministic for the optimiser: else a filter on the result moves below the aggregate, and runs for every row.
@@ -135,18 +141,25 @@ def _count_shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _edit_distance(a: list[str], b: list[str], most: int) -> int:
-    """Edit distance of two lists, or most + 1 if it is larger; only the diagonal band is computed."""
+    """Edit distance of two lists, or most + 1 if it is larger; only the diagonal band is computed.
+
+    Ring numbers stay as they are: they are neither changed nor added.
+    """
     if abs(len(a) - len(b)) > most:
         return most + 1
     far = most + 1
-    before = [j if j <= most else far for j in range(len(b) + 1)]
+    free_a, free_b = [0 if "@" in x else 1 for x in a], [0 if "@" in x else 1 for x in b]
+    before = [0]
+    for j, free in enumerate(free_b):
+        before.append(min(before[j] + 1 if free else far, far))
     for i, x in enumerate(a, 1):
         low, high = max(1, i - most), min(len(b), i + most)
         now = [far] * (len(b) + 1)
-        if i <= most:
-            now[0] = i
+        out = 1 if free_a[i - 1] else far
+        now[0] = min(before[0] + out, far)
         for j in range(low, high + 1):
-            now[j] = min(before[j - 1] + (x != b[j - 1]), before[j] + 1, now[j - 1] + 1, far)
+            change = 0 if x == b[j - 1] else 1 if free_a[i - 1] and free_b[j - 1] else far
+            now[j] = min(before[j - 1] + change, before[j] + out, now[j - 1] + (1 if free_b[j - 1] else far), far)
         if min(now[low - 1 : high + 1]) > most:
             return far
         before = now
@@ -162,40 +175,79 @@ _almost = _almost.asNondeterministic()  # for the same reason as _write: after t
 
 
 def near_pairs(chains: DataFrame) -> DataFrame:
-    """(eval_atoms, train_atoms) of atom chains at most EDITS atoms apart, for chains (atoms, code, in_eval, in_train).
+    """(eval_class, train_class) of chains at most EDITS atoms apart, for chains (atoms, code, in_eval, in_train).
 
-    An exact prefix-filter join: the rarest shingles of every chain, as few as EDITS edits cannot all destroy, are
-    matched between evaluation (indexed) and training (probing); partners differ by at most EDITS in length and in a
-    shared shingle's position; the edit distance is then computed.
+    With ``body`` and ``rings`` (see ``_write``) chains have ring numbers, which must agree; a class is then a body,
+    else the atoms.  An exact prefix-filter join: the rarest shingles of every chain, as few as EDITS edits cannot all
+    destroy, are matched between evaluation (indexed) and training (probing); partners have the same ring numbers, and
+    differ by at most EDITS in length and in a shared shingle's position; the edit distance is then computed.
     """
     spark = chains.sparkSession
-    counted = chains.mapInPandas(_count_shingles, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # RARITY_BUCKETS numbers at most
+    if "body" not in chains.columns:
+        chains = chains.withColumn("body", F.col("atoms")).withColumn("rings", F.lit(""))
+    counted = chains.select("atoms").mapInPandas(_count_shingles, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # RARITY_BUCKETS numbers at most
     rarity = np.zeros(RARITY_BUCKETS, np.int64)
     for r in counted:
         rarity[r["bucket"]] = r["n"]
     shared = spark.sparkContext.broadcast(rarity)  # half a megabyte, whatever the data
 
-
     def prefix_of(chain: pd.Series) -> pd.Series:
         return pd.Series(prefixes(chain, shared.value))
 
     prefix = F.pandas_udf(prefix_of, _GRAMS)
-    # rows of the join carry a number for the chain and, for chains of usual length, its code
+    # rows of the join carry numbers for the chain and its rings and, for chains of usual length, its code
     short = F.when(F.length("code") <= SHORT_CHAIN, F.col("code"))
-    indexed = chains.select(F.xxhash64("atoms").alias("id"), short.alias("code"), "in_eval", "in_train", F.length("code").alias("len"), F.explode(prefix("atoms")).alias("g"))
-    indexed = indexed.select("id", "code", "in_eval", "in_train", "len", "g.gram", "g.pos")
+    indexed = chains.select(
+        F.xxhash64("body").alias("id"), F.xxhash64("rings").alias("rings"), short.alias("code"), "in_eval", "in_train", F.length("code").alias("len"), F.explode(prefix("atoms")).alias("g")
+    ).select("id", "rings", "code", "in_eval", "in_train", "len", "g.gram", "g.pos")
     reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - EDITS) / BAND), F.floor((F.col(c) + EDITS) / BAND)))
-    e = indexed.filter("in_eval").select("gram", F.col("id").alias("e_id"), F.col("code").alias("e_code"), F.col("len").alias("e_len"), F.col("pos").alias("e_pos"))
+    e = indexed.filter("in_eval").select("gram", "rings", F.col("id").alias("e_id"), F.col("code").alias("e_code"), F.col("len").alias("e_len"), F.col("pos").alias("e_pos"))
     e = e.withColumn("len_band", reach("e_len")).withColumn("pos_band", reach("e_pos"))
-    t = indexed.filter("in_train").select("gram", F.col("id").alias("t_id"), F.col("code").alias("t_code"), F.col("len").alias("t_len"), F.col("pos").alias("t_pos"))
+    t = indexed.filter("in_train").select("gram", "rings", F.col("id").alias("t_id"), F.col("code").alias("t_code"), F.col("len").alias("t_len"), F.col("pos").alias("t_pos"))
     t = t.withColumn("len_band", F.floor(F.col("t_len") / BAND)).withColumn("pos_band", F.floor(F.col("t_pos") / BAND))
     near = (F.abs(F.col("e_len") - F.col("t_len")) <= EDITS) & (F.abs(F.col("e_pos") - F.col("t_pos")) <= EDITS) & (F.col("e_id") != F.col("t_id"))
     # the built-in distance with a bound runs in the join's own stage; few pairs are left for the shuffle and the check
     close = F.coalesce(F.levenshtein("e_code", "t_code", EDITS) >= 0, F.lit(True))
-    found = e.join(t, ["gram", "len_band", "pos_band"]).filter(near).filter(close).select("e_id", "t_id").distinct()
-    named = lambda side, flag: chains.filter(flag).select(F.xxhash64("atoms").alias(f"{side[0]}_id"), F.col("atoms").alias(f"{side}_atoms"))
-    pairs = found.join(named("eval", "in_eval"), "e_id").join(named("train", "in_train"), "t_id").select("eval_atoms", "train_atoms")
-    return pairs.filter(_almost("eval_atoms", "train_atoms"))
+    found = e.join(t, ["gram", "rings", "len_band", "pos_band"]).filter(near).filter(close).select("e_id", "t_id").distinct()
+    named = lambda side, flag: chains.filter(flag).select(F.xxhash64("body").alias(f"{side[0]}_id"), F.col("body").alias(f"{side}_class"))
+    pairs = found.join(named("eval", "in_eval"), "e_id").join(named("train", "in_train"), "t_id").select("eval_class", "train_class")
+    return pairs.filter(_almost("eval_class", "train_class"))
+
+
+def _base(df: DataFrame, row: str, molecule: Column, scaffold: Column, is_eval: Column, is_train: Column, extra: dict[str, Column]) -> DataFrame:
+    """The rows of both splits: __row, __mol, __scaffold, __eval and the extra columns."""
+    return df.select(
+        F.col(row).alias("__row"), molecule.alias("__mol"), F.nullif(F.trim(scaffold), F.lit("")).alias("__scaffold"),
+        F.when(is_eval, True).when(is_train, False).alias("__eval"), *(c.alias(n) for n, c in extra.items()),
+    ).filter("__eval IS NOT NULL")
+
+
+def scaffold_classes(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members: __scaffold, class; links: eval_class, train_class) of the distinct scaffold writings of both splits.
+
+    A class is one writing of a ring system; links join the classes that are the same or almost the same and stand on
+    either side.  Scaffolds are compared once for each class, not for each row.
+    """
+    written = base.filter("__scaffold IS NOT NULL").groupBy("__scaffold").agg(F.max("__eval").alias("in_eval"), F.max(~F.col("__eval")).alias("in_train"))
+    classed = written.select("__scaffold", "in_eval", "in_train", _write("__scaffold").alias("w")).select("__scaffold", "in_eval", "in_train", "w.*").filter("body IS NOT NULL")
+    classed = cut_lineage(classed)
+    chains = classed.groupBy("body").agg(*(F.first(c).alias(c) for c in ("rings", "atoms", "code")), F.max("in_eval").alias("in_eval"), F.max("in_train").alias("in_train"))
+    same = chains.filter("in_eval AND in_train").select(F.col("body").alias("eval_class"), F.col("body").alias("train_class"))
+    return classed.select("__scaffold", F.col("body").alias("class")), cut_lineage(same.unionByName(near_pairs(chains)))
+
+
+def _every_pair(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The join on ``key``, in which a key of many rows on both sides is spread as a grid of blocks over many tasks."""
+    sizes = left.groupBy(key).agg(F.count(F.lit(1)).alias("l")).join(right.groupBy(key).agg(F.count(F.lit(1)).alias("r")), key)
+    blocks = lambda c: F.ceil(F.col(c) / PAIR_BLOCK).cast("int")
+    hot = sizes.filter(F.col("l") * F.col("r") > PAIR_BLOCK * PAIR_BLOCK).select(key, blocks("l").alias("__nl"), blocks("r").alias("__nr"))
+    one = F.lit(1)
+
+    def placed(d: DataFrame, own: str, other: str, row: str) -> DataFrame:
+        d = d.join(hot, key, "left").withColumn(f"{own}_block", F.pmod(F.xxhash64(row), F.coalesce(f"__n{own}", one)).cast("int"))
+        return d.withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.coalesce(f"__n{other}", one) - 1))).drop("__nl", "__nr")
+
+    return placed(left, "l", "r", "eval_row").join(placed(right, "r", "l", "train_row"), [key, "l_block", "r_block"]).drop(key, "l_block", "r_block")
 
 
 def cross_split_overlap(
@@ -209,37 +261,65 @@ def cross_split_overlap(
 ) -> DataFrame:
     """Every pair of an evaluation and a training row with the same molecule or the same or almost the same scaffold.
 
+    Scaffolds are the same if they write one ring system (ring numbering, stereo marks and counter-ions aside), and
+    almost the same if beyond that at most EDITS atoms, each with the bond before it, are changed or added.
+
     Result: ``eval_row``, ``train_row`` and, prefixed ``eval_`` and ``train_``, the ``extra`` columns.  Rows of neither
     split take no part; NULL molecules and NULL or empty scaffolds match nothing; repeated rows pair like any others;
-    an empty table gives no pairs.  Scaffolds are compared once per distinct writing, not per row: rows meet only
-    through the groups that overlap, so the shuffle grows with rows and found pairs, not with their product.
+    an empty table gives no pairs.  Rows meet only through the classes that overlap, so the shuffle grows with rows and
+    found pairs; a class of many rows on both sides is spread over tasks.  ``overlap_counts`` counts the pairs without
+    writing them out.
     """
     extra = extra or {}
-    base = (
-        df.select(
-            F.col(row).alias("__row"), molecule.alias("__mol"), F.nullif(F.trim(scaffold), F.lit("")).alias("__scaffold"),
-            F.when(is_eval, True).when(is_train, False).alias("__eval"), *(c.alias(n) for n, c in extra.items()),
-        ).filter("__eval IS NOT NULL")
-    )
+    base = _base(df, row, molecule, scaffold, is_eval, is_train, extra)
     side = lambda d, e, *keep: d.filter(F.col("__eval") == F.lit(e)).select(
         *keep, *(F.col(c).alias(("eval_" if e else "train_") + c.removeprefix("__")) for c in ("__row", *extra))
     )
-    # molecules: only those on both sides go on
     has_mol = base.filter("__mol IS NOT NULL")
-    by_mol = side(has_mol, True, "__mol").join(side(has_mol, False, "__mol"), "__mol").drop("__mol")
-
-    # scaffolds: distinct writings -> one writing -> atom chains -> overlapping classes
-    written = base.filter("__scaffold IS NOT NULL").groupBy("__scaffold").agg(F.max("__eval").alias("in_eval"), F.max(~F.col("__eval")).alias("in_train"))
-    classed = written.select("__scaffold", "in_eval", "in_train", _write("__scaffold").alias("w")).select("__scaffold", "in_eval", "in_train", "w.canon", "w.atoms", "w.code").filter("atoms IS NOT NULL")
-    classed = cut_lineage(classed)
-    chains = classed.groupBy("atoms").agg(F.first("code").alias("code"), F.max("in_eval").alias("in_eval"), F.max("in_train").alias("in_train"))
-    same = chains.filter("in_eval AND in_train").select(F.col("atoms").alias("eval_atoms"), F.col("atoms").alias("train_atoms"))
-    links = cut_lineage(same.unionByName(near_pairs(chains)))
-    names = classed.select("__scaffold", "atoms")
-    e_rows = links.join(names.withColumnRenamed("atoms", "eval_atoms"), "eval_atoms").select(F.col("__scaffold"), "train_atoms")
-    t_rows = links.select("train_atoms").distinct().join(names.withColumnRenamed("atoms", "train_atoms"), "train_atoms")
+    by_mol = _every_pair(side(has_mol, True, "__mol"), side(has_mol, False, "__mol"), "__mol")
+    members, links = scaffold_classes(base)
+    e_rows = links.join(members.withColumnRenamed("class", "eval_class"), "eval_class").select("__scaffold", "train_class")
+    t_rows = links.select("train_class").distinct().join(members.withColumnRenamed("class", "train_class"), "train_class")
     rows = base.filter("__scaffold IS NOT NULL")
-    left = side(rows, True, "__scaffold").join(e_rows, "__scaffold").drop("__scaffold")
-    right = side(rows, False, "__scaffold").join(t_rows, "__scaffold").drop("__scaffold")
-    by_scaffold = left.join(right, "train_atoms").drop("train_atoms")
-    return by_mol.unionByName(by_scaffold).distinct()
+    left = side(rows, True, "__scaffold", F.col("__mol").alias("eval_mol")).join(e_rows, "__scaffold").drop("__scaffold")
+    right = side(rows, False, "__scaffold", F.col("__mol").alias("train_mol")).join(t_rows, "__scaffold").drop("__scaffold")
+    # pairs of one molecule are there already
+    by_scaffold = _every_pair(left, right, "train_class").filter(~F.coalesce(F.col("eval_mol") == F.col("train_mol"), F.lit(False))).drop("eval_mol", "train_mol")
+    return by_mol.unionByName(by_scaffold)
+
+
+def overlap_counts(
+    df: DataFrame,
+    row: str,
+    molecule: Column,
+    scaffold: Column,
+    is_eval: Column,
+    is_train: Column,
+    by: dict[str, Column],
+) -> DataFrame:
+    """``n_pairs``, ``n_eval_rows`` and ``n_train_rows`` of the overlaps for each group ``by`` of evaluation rows.
+
+    The pairs of ``cross_split_overlap`` are counted, not written: rows become counts per (molecule, class), so a class
+    of any size costs a few numbers.  Pairs by molecule and by scaffold are added, those by both taken off once.
+    """
+    names = list(by)
+    base = _base(df, row, molecule, scaffold, is_eval, is_train, by)
+    members, links = scaffold_classes(base)
+    units = base.join(members, "__scaffold", "left").groupBy("__eval", "__mol", "class", *names).agg(F.count(F.lit(1)).alias("n"))
+    units = cut_lineage(units)
+    e = units.filter("__eval").select(F.col("__mol").alias("mol"), F.col("class").alias("eval_class"), F.struct(*names).alias("g"), "n")
+    t = units.filter("NOT __eval").groupBy(F.col("__mol").alias("mol"), F.col("class").alias("train_class")).agg(F.sum("n").alias("n"))
+    by_mol = t.filter("mol IS NOT NULL").groupBy("mol").agg(F.sum("n").alias("n_mol"))
+    by_class = t.groupBy("train_class").agg(F.sum("n").alias("n")).join(links, "train_class").groupBy("eval_class").agg(F.sum("n").alias("n_class"))
+    shared = t.filter("mol IS NOT NULL").join(e.select("mol").distinct(), "mol", "left_semi")
+    by_both = shared.join(links, "train_class").groupBy("mol", "eval_class").agg(F.sum("n").alias("n_both"))
+    met = e.join(by_mol, "mol", "left").join(by_class, "eval_class", "left").join(by_both, ["mol", "eval_class"], "left").na.fill(0, ["n_mol", "n_class", "n_both"])
+    pairs = F.col("n_mol") + F.col("n_class") - F.col("n_both")
+    left = met.filter(pairs > 0).groupBy("g").agg(F.sum(F.col("n") * pairs).alias("n_pairs"), F.sum("n").alias("n_eval_rows"))
+    # the groups that a training row overlaps with: no more than there are groups
+    g_mol = e.filter("mol IS NOT NULL").groupBy("mol").agg(F.collect_set("g").alias("a"))
+    g_class = e.join(links, "eval_class").groupBy("train_class").agg(F.collect_set("g").alias("b"))
+    none = F.array().cast(g_mol.schema["a"].dataType)
+    groups = F.array_union(F.coalesce("a", none), F.coalesce("b", none))
+    right = t.join(g_mol, "mol", "left").join(g_class, "train_class", "left").select("n", F.explode(groups).alias("g")).groupBy("g").agg(F.sum("n").alias("n_train_rows"))
+    return left.join(right, "g").select("g.*", "n_pairs", "n_eval_rows", "n_train_rows")

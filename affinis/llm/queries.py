@@ -47,23 +47,19 @@ def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("key").alias("pair_id"), "stratum", "first_batch")
 
 
-def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta, fold = table(spark, sf_dir, "final_training_meta"), F.col("cv_fold")
-    return overlap.cross_split_overlap(
-        meta, "row_id", molecule_key(F.col("mol_chembl_id")), F.col("scaffold_smiles"), fold.between(9, 10), fold.between(1, 8), {"fold": fold, "source": F.col("source_version")}
-    )
+def _both_sides(spark: SparkSession, sf_dir: str) -> tuple:
+    fold = F.col("cv_fold")
+    return table(spark, sf_dir, "final_training_meta"), "row_id", molecule_key(F.col("mol_chembl_id")), F.col("scaffold_smiles"), fold.between(9, 10), fold.between(1, 8)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _overlaps(spark, sf_dir)
+    o = overlap.cross_split_overlap(*_both_sides(spark, sf_dir))
     return o.select(F.least("eval_row", "train_row").alias("row_id_a"), F.greatest("eval_row", "train_row").alias("row_id_b"))
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps per evaluation fold and source: pairs, evaluation rows that overlap, training rows they overlap with."""
-    return _overlaps(spark, sf_dir).groupBy("eval_fold", "eval_source").agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("eval_row").alias("n_eval_rows"), F.countDistinct("train_row").alias("n_train_rows")
-    )
+    return overlap.overlap_counts(*_both_sides(spark, sf_dir), {"eval_fold": F.col("cv_fold"), "eval_source": F.col("source_version")})
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

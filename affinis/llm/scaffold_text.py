@@ -78,3 +78,25 @@ def canonical_tokens(text: str | None) -> list[str]:
 def atoms(tokens: list[str]) -> list[str]:
     """The atoms of a token list, without bonds, branches and ring numbers."""
     return [t for t in tokens if _ATOM.match(t)]
+
+
+_BOND = set("=#$:-")
+
+
+def elements(tokens: list[str]) -> tuple[list[str], list[str]]:
+    """(elements and ring numbers in their order, ring numbers): an element is an atom with the bond before it.
+
+    Branches are left out: an atom that hangs on another place was moved, which is a change of atoms like any other.
+    """
+    body, rings, bond = [], [], ""
+    for t in tokens:
+        if t in _BOND:
+            bond = t
+        elif _ATOM.match(t):
+            body.append(bond + t)
+            bond = ""
+        elif _ring(t):
+            body.append(f"{bond}@{t}")  # no atom has this mark
+            rings.append(body[-1])
+            bond = ""
+    return body, rings
