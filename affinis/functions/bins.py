@@ -57,6 +57,11 @@ def threshold_normalised(similarity: Column, threshold: float) -> Column:
     return clamp((similarity - F.lit(threshold)) / F.lit(1.0 - threshold), 0.0, 1.0)
 
 
+def or_sentinel(size: Column, sentinel: int = 9999) -> Column:
+    """A size, or a number above every limit where it is unknown or no number."""
+    return F.coalesce(size.try_cast("int"), F.lit(sentinel))
+
+
 def md5_order(*columns: Column, seed: str = "42") -> Column:
     """A key whose order is a fixed shuffle."""
     return F.md5(F.concat_ws("|", F.lit(seed), *(c.cast("string") for c in columns)))

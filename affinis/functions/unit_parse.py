@@ -84,7 +84,8 @@ def parse_unit(text: str, field: str) -> Unit | None:
     power = 0
     if m := _POWER.match(s):
         power, s = int(m[1].replace("−", "-")), s[m.end() :]
-    if not s or len(s) > 40:
+    s = re.sub(r"\s+", " ", s)
+    if not s:
         return None
     # best[i][(dimension, sign)] = (cost, log10 power, factor): the cheapest way to read s[:i]
     best: list[dict] = [{} for _ in range(len(s) + 1)]

@@ -62,6 +62,18 @@ def homology_map(hits: DataFrame, targets: DataFrame) -> DataFrame:
     return rich.groupBy(F.col("qseqid").alias("target_id")).agg(packed.alias("homologues"))
 
 
+def potency_benchmark(
+    df: DataFrame, molecule: str, target: str, kinds: tuple[str, ...], year: int | None = None, below_um: float = 1e-3, confidence: float = 3, organism: str = "Homo sapiens", size: Column | None = None, least: int = 2
+) -> DataFrame:
+    """(molecule, n_targets): potent molecules of one year (the latest where none is named) with ``least`` different targets or more."""
+    last = df.agg(F.max("publication_year").alias("__year"))
+    d = df.filter(F.col("publication_year") == year) if year else df.join(F.broadcast(last), F.col("publication_year") == F.col("__year"))  # one row
+    d = d.filter(F.col("standard_type").isin(*kinds) & (F.col("activity_um") < below_um) & (F.col("confidence_score") > confidence) & (F.col("organism") == organism))
+    d = d if size is None else d.filter(size)
+    g = d.dropna(subset=[molecule, target]).groupBy(molecule).agg(F.count_distinct(target).alias("n_targets"))
+    return g.filter(F.col("n_targets") >= least)
+
+
 def species_summary(df: DataFrame, organism: str, target: str, molecule: str, organisms: list[str]) -> DataFrame:
     """Distinct targets and molecules and rows per organism in the given list, and over all rows; absent ones give 0."""
     spark = df.sparkSession

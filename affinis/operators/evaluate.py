@@ -73,6 +73,18 @@ def quantiles(df: DataFrame, value: str, by: list[str], points: tuple[float, ...
     return whole.join(q, on, "left").select(*by, "n", *(F.col("q")[i].alias(f"p{int(p * 100):02d}") for i, p in enumerate(points)), "mean", "std")
 
 
+def rank_targets(scored: DataFrame, query: str, target: str, score: str, top: int) -> DataFrame:
+    """The ``top`` targets of each query, best first, ties to the smaller target; pruned by the group limit."""
+    w = Window.partitionBy(query).orderBy(F.round(score, 9).desc(), F.col(target))
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+
+
+def hits_of_ranked(ranked: DataFrame, truth: DataFrame, cutoffs: tuple[int, ...], query: str = "query_id", target: str = "target", own: str = "own") -> DataFrame:
+    """Share of ranked queries whose own target is within each cutoff, to four places; one row."""
+    d = ranked.join(truth, query).groupBy(query).agg(F.min(F.when(F.col(target) == F.col(own), F.col("rank"))).alias("best"))
+    return d.agg(F.count(F.lit(1)).alias("n_queries"), *(F.round(F.avg(F.coalesce(F.col("best") <= k, F.lit(False)).cast("double")), 4).alias(f"hit_at_{k}") for k in cutoffs))
+
+
 # ---------------------------------------------------------------------------------------- distributions
 
 

@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from affinis.operators import evaluate
+from affinis.session import cut_lineage
+
 #: Coefficients of a bin with one class only; fixed values.
 DEFAULT_INTERCEPT, DEFAULT_3D, DEFAULT_2D = -5.0, 3.0, 7.0
 
@@ -62,12 +65,33 @@ def score_logistic(df: DataFrame, coefficients: DataFrame, by: str, features: li
 
 
 def cross_validate(df: DataFrame, by: str, fold: str, features: list[str], label: str, c: float = 10.0) -> DataFrame:
-    """Out-of-fold scores: each fold is scored by coefficients fitted on the others, all groups of a fold at once."""
-    out = None
-    for f in sorted(r[0] for r in df.select(fold).distinct().collect() if r[0] is not None):  # the folds
-        part = score_logistic(df.filter(F.col(fold) == f), fit_logistic_by_group(df.filter(F.col(fold) != f), by, features, label, c), by, features)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else df.withColumn("score", F.lit(None).cast("double")).limit(0)
+    """Out-of-fold scores: each fold is scored by coefficients fitted on the others.
+
+    The models of all groups and folds are fitted together: every row goes into the sums of the folds that are not its
+    own, so a Newton step is one pass however many folds there are.  Rows without a fold are left out.
+    """
+    names = sorted(r[0] for r in df.select(fold).distinct().collect() if r[0] is not None)  # the folds
+    if not names:
+        return df.withColumn("score", F.lit(None).cast("double")).limit(0)
+    model = lambda held: F.struct(F.col(by).alias("group"), held.alias("held"))
+    slim = cut_lineage(df.filter(F.col(fold).isNotNull()).select(by, fold, *features, label))
+    held = F.explode(F.filter(F.array(*map(F.lit, names)), lambda f: f != F.col(fold)))
+    train = slim.withColumn("__held", held).withColumn("__model", F.to_json(model(F.col("__held"))))
+    fitted = fit_logistic_by_group(train, "__model", features, label, c)
+    return score_logistic(df.filter(F.col(fold).isNotNull()).withColumn("__model", F.to_json(model(F.col(fold)))), fitted, "__model", features).drop("__model")
+
+
+def group_metrics(scored: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
+    """(by, n_pos, n_neg, auc, average_precision); NULL where a group lacks a class."""
+    positive = F.col(label) > 0.5
+    ap = evaluate.average_precision(scored, by, F.col(score), positive).drop("n_pos")
+    return evaluate.roc_auc(scored, by, F.col(score), positive).join(ap, by)
+
+
+def fold_metrics(scored: DataFrame, by: str, fold: str, score: str, label: str) -> DataFrame:
+    """(by, n_folds, mean_auc, mean_ap) over the folds that have both classes, 0 where none has."""
+    m = group_metrics(scored, [by, fold], score, label)
+    return m.groupBy(by).agg(F.count("auc").alias("n_folds"), F.coalesce(F.avg("auc"), F.lit(0.0)).alias("mean_auc"), F.coalesce(F.avg(F.when(F.col("auc").isNotNull(), F.col("average_precision"))), F.lit(0.0)).alias("mean_ap"))
 
 
 def fit_stacked(df: DataFrame, features_3d: list[str], features_2d: list[str], label: str, iterations: int = 20, seed: int = 1):

@@ -127,6 +127,45 @@ def assert_pairs(df: DataFrame, context: str, **kwargs) -> DataFrame:
     return df
 
 
+def validation_report(df: DataFrame, pair: str, target: str, molecule: str, atoms: str, um: str, most_atoms: int = 80, full: int = 11) -> DataFrame:
+    """One row of counts of what a training set must not hold, with its rows and its largest molecule.
+
+    Rows without a pair belong to none; (molecule, target) on both sides needs both known.
+    """
+    kind, v = F.col("set_type"), F.nanvl(F.col(um), F.lit(None).cast("double"))
+    whole = df.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max(atoms).alias("max_heavy_atoms"), F.count_if(F.col(atoms) > most_atoms).alias("heavy_atoms_over"), F.count_if((kind == "Positive") & (v >= 10)).alias("positives_weak"),
+        F.count_if((kind == "Negative") & (v < 500)).alias("negatives_strong"), F.count_if(~F.coalesce(kind.isin("Positive", "Negative"), F.lit(False))).alias("bad_set_type"),
+    )
+    g = df.filter(F.col(pair).isNotNull()).groupBy(pair).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(target).alias("t"), F.count_distinct("cv_fold").alias("f"))
+    by_pair = g.agg(F.count_if(F.col("n") != full).alias("pairs_not_full"), F.count_if(F.col("t") != 1).alias("pairs_of_targets"), F.count_if(F.col("f") != 1).alias("pairs_of_folds"))
+    known = df.dropna(subset=[molecule, target]).groupBy(molecule, target).agg(F.max((kind == "Positive").cast("int")).alias("a"), F.max((kind == "Negative").cast("int")).alias("b"))
+    both = known.agg(F.count_if((F.col("a") == 1) & (F.col("b") == 1)).alias("pos_neg_overlap"))
+    return whole.crossJoin(by_pair).crossJoin(both)  # one row each
+
+
+def plain_folds(pairs: DataFrame, pair: str, folds: int = 10, seed: str = "42") -> DataFrame:
+    """(pair, fold 1..folds): all pairs in a fixed shuffle, cut into folds of equal size, the first ones larger by one.
+
+    Places are counted in ranges of the shuffle, so no task orders all pairs.
+    """
+    d = sums_before(pairs.select(pair).distinct().withColumn("__k", md5_order(F.col(pair), seed=seed)).withColumn("__1", F.lit(1)), [], ["__k", pair], ["__1"])
+    n = d.agg(F.count(F.lit(1)).alias("__n"))
+    place, size, rest = F.col("before___1"), F.expr(f"__n div {folds}"), F.col("__n") % folds
+    fold = F.when(place < rest * (size + 1), F.floor(place / (size + 1))).otherwise(rest + F.floor((place - rest * (size + 1)) / F.greatest(size, F.lit(1))))
+    return d.crossJoin(F.broadcast(n)).select(pair, (fold + 1).cast("int").alias("fold"))  # one row
+
+
+def given_folds(df: DataFrame, fold: str) -> DataFrame:
+    """Adds ``fold`` as the table gives it, as a whole number; what is none becomes NULL."""
+    return df.withColumn("fold", F.col(fold).try_cast("long"))
+
+
+def row_time_split(df: DataFrame, year: str, cutoff: int) -> DataFrame:
+    """Adds ``side`` (past, later, unknown) row by row; unlike ``temporal_split`` it may part the rows of a pair."""
+    return df.withColumn("side", F.when(F.col(year) <= cutoff, "past").when(F.col(year) > cutoff, "later").otherwise("unknown"))
+
+
 def stratified_folds(pairs: DataFrame, pair: str, stratum: str, folds: int = 10, seed: str = "42") -> DataFrame:
     """(pair, stratum, fold 1..folds): pairs of a stratum are dealt in a fixed shuffle, each stratum from its own start.
 

@@ -120,12 +120,11 @@ def common_units(
     """
     is_time = F.col(kind).rlike(TIME_TYPE)
     mine = is_time | F.col(kind).rlike(CONCENTRATION_TYPE)
-    base = _to_base(*(F.col(c).cast("double") if c in (value, weight) else F.col(c) for c in (kind, value, units, comment, weight)))
+    # rows of another kind go to Python as NULLs, which cost next to nothing; so the table is read once
+    told = lambda c: F.when(mine, F.col(c).cast("double") if c in (value, weight) else F.col(c))
+    base = _to_base(*map(told, (kind, value, units, comment, weight)))
     scaled = F.floor(F.when(is_time, F.col("__base")).otherwise(F.col("__base") * F.lit(1e12)) + 0.5)
-    # A row of another kind is not sent to Python: it is split off by the filter, and both parts keep all columns.
-    told = df.filter(mine).withColumn("__base", base)
-    rest = df.filter(~F.coalesce(mine, F.lit(False))).withColumn("__base", F.lit(None).cast("double"))
-    out = told.unionByName(rest)
+    out = df.withColumn("__base", base)
     ok = scaled.isNotNull() & (scaled < 9e18)
     return (
         out.withColumn(unit_column, F.when(ok, F.when(is_time, "s").otherwise("pM")))

@@ -12,6 +12,7 @@ from affinis.functions.similarity import pack_signs, popcount
 from affinis.operators import calibrate, curate, evaluate, models, pairs
 from affinis.operators.similarity import Params, keep_rule, loo_scores, similarity_candidates, summary_features, topk_features
 from affinis.plans.problems import MOLECULE_SQL, PAIR_SQL, table
+from affinis.session import cut_lineage
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -129,20 +130,36 @@ def paralog_anti(spark, sf_dir):
 _BUCKET = "(('0x' || substr(md5('42|' || {0}), 1, 8))::BIGINT % {1})"
 
 
-@query(f"""WITH {_CURATED_SQL}, {_EDGES_SQL}, blocked AS (SELECT mol, target_chembl_id FROM cur UNION SELECT mol, dst FROM cur JOIN edges ON src = target_chembl_id),
+_NEG_SQL = f"""{_CURATED_SQL}, {_EDGES_SQL}, blocked AS MATERIALIZED (SELECT mol, target_chembl_id FROM cur UNION SELECT mol, dst FROM cur JOIN edges ON src = target_chembl_id),
 nb AS (SELECT greatest(1, count(DISTINCT mol) // 12) AS b FROM cur),
 pool AS (SELECT DISTINCT mol, {_BUCKET.format('mol', 'b')} AS bucket FROM cur, nb),
-pos AS (SELECT DISTINCT mol AS pos, target_chembl_id, mol || '_' || target_chembl_id AS pair_id FROM cur WHERE label = 'Active'),
+pos AS MATERIALIZED (SELECT DISTINCT mol AS pos, target_chembl_id, mol || '_' || target_chembl_id AS pair_id FROM cur WHERE label = 'Active'),
 ask AS (SELECT DISTINCT pos.*, {_BUCKET.format("pair_id || '|' || i", 'b')} AS bucket FROM pos, nb, (SELECT unnest([0, 1, 2]) AS i)),
-met AS (SELECT pair_id, mol, target_chembl_id FROM ask JOIN pool USING (bucket) WHERE mol <> pos AND NOT EXISTS (SELECT 1 FROM blocked x WHERE x.mol = pool.mol AND x.target_chembl_id = ask.target_chembl_id)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY md5('42|' || pair_id || '|' || mol), mol)::INTEGER AS rank FROM met)
-SELECT pair_id, mol, target_chembl_id, rank FROM rk WHERE rank <= 10 AND pair_id IN (SELECT pair_id FROM rk WHERE rank = 10)""")
-def neg_sample(spark, sf_dir):
-    cur = _curated(spark, sf_dir)
+met AS (SELECT pair_id, ask.target_chembl_id, pool.mol FROM ask JOIN pool USING (bucket) ANTI JOIN blocked x ON x.mol = pool.mol AND x.target_chembl_id = ask.target_chembl_id WHERE pool.mol <> pos),
+rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY md5('42|' || pair_id || '|' || mol), mol)::INTEGER AS rank FROM met),
+full10 AS (SELECT pair_id FROM rk WHERE rank = 10),
+short AS MATERIALIZED (SELECT pos.* FROM pos ANTI JOIN full10 USING (pair_id)),
+allowed AS (SELECT t.target_chembl_id, p.mol FROM (SELECT DISTINCT target_chembl_id FROM short) t CROSS JOIN (SELECT DISTINCT mol FROM cur) p ANTI JOIN blocked x ON x.mol = p.mol AND x.target_chembl_id = t.target_chembl_id),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY target_chembl_id ORDER BY md5('42|' || target_chembl_id || '|' || mol), mol) - 1 AS i FROM allowed),
+again AS (SELECT s.*, e, least(e, 11) AS k, unnest(range(least(e, 11))) AS j FROM short s JOIN (SELECT target_chembl_id, count(*) AS e FROM allowed GROUP BY 1 HAVING count(*) >= 10) USING (target_chembl_id)),
+picked AS (SELECT a.pair_id, a.pos, a.target_chembl_id, j * e // k + ('0x' || substr(md5('42|again|' || pair_id || '|' || j), 1, 8))::BIGINT % ((j + 1) * e // k - j * e // k) AS i FROM again a),
+drawn AS (SELECT p.pair_id, p.target_chembl_id, n.mol, row_number() OVER (PARTITION BY pair_id ORDER BY md5('42|' || pair_id || '|' || n.mol), n.mol)::INTEGER AS rank FROM picked p JOIN numbered n USING (target_chembl_id, i) WHERE n.mol <> p.pos),
+neg AS (SELECT pair_id, mol, target_chembl_id, rank FROM rk SEMI JOIN full10 USING (pair_id) WHERE rank <= 10
+  UNION ALL SELECT pair_id, mol, target_chembl_id, rank FROM drawn SEMI JOIN (SELECT pair_id FROM drawn WHERE rank = 10) x USING (pair_id) WHERE rank <= 10)"""
+
+
+def _negatives(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(curated measurements, blocked pairs, negatives); the curated rows are written once and read by every step."""
+    cur = cut_lineage(_curated(spark, sf_dir).select("activity_id", "molregno", "mol", "target_chembl_id", "organism", "publication_year", "activity_um", "label"))
     mols = cur.select("mol").distinct()
     buckets = max(1, mols.count() // 12)
-    blocked = curate.blocked_pairs(cur, _edges(spark, sf_dir), "mol", "target_chembl_id")
-    return pairs.sample_negatives(cur.filter("label = 'Active'"), mols, blocked, "mol", "target_chembl_id", 10, buckets, 3)
+    blocked = cut_lineage(curate.blocked_pairs(cur, _edges(spark, sf_dir), "mol", "target_chembl_id"))
+    return cur, blocked, pairs.sample_negatives(cur.filter("label = 'Active'"), mols, blocked, "mol", "target_chembl_id", 10, buckets, 3)
+
+
+@query(f"WITH {_NEG_SQL} SELECT pair_id, mol, target_chembl_id, rank FROM neg")
+def neg_sample(spark, sf_dir):
+    return _negatives(spark, sf_dir)[2]
 
 
 # ------------------------------------------------------------------------------------------------ pairs

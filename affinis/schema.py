@@ -6,16 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: BLAST tabular output (outfmt 6), which has no header.
+# The published columns of BLAST tabular output (outfmt 6), which has no header.
 BLAST_HITS = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("qseqid", "sseqid")]
     + [T.StructField("pident", T.DoubleType())]
     + [T.StructField(n, T.IntegerType()) for n in ("length", "mismatch", "gapopen", "qstart", "qend", "sstart", "send")]
     + [T.StructField(n, T.DoubleType()) for n in ("evalue", "bitscore")]
 )
-TRAINING_SET = (
-    "molregno", "mol_chembl_id", "target_chembl_id", "heavy_atoms", "set_type", "pair_id", "cv_fold", "scaffold_smiles", "publication_year", "assay_id",
-)
 
 
 def require_columns(df: DataFrame, columns: list[str] | tuple[str, ...], context: str) -> DataFrame:

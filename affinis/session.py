@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -22,6 +24,7 @@ def ship(spark: SparkSession) -> SparkSession:
         for p in sorted(root.rglob("*.py")):
             z.write(p, str(p.relative_to(root.parent)))
     sc.addPyFile(name)
+    atexit.register(Path(name).unlink, missing_ok=True)  # code only; executors have fetched it
     sc._affinis_shipped = True
     return spark
 
@@ -43,10 +46,12 @@ def local_session(cores: int | str = 8, app: str = "affinis", shuffle: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only in a local session, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="affinis-checkpoint-"))
     return sc.getCheckpointDir()
 

@@ -24,6 +24,23 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return df.select(*columns) if columns else df
 
 
+def resolve_parquet(spark: SparkSession, path: str, preferred: str | None = None) -> str:
+    """The parquet source meant by a path: itself, or in a folder the preferred entry or the only one; else ValueError."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    root = Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        raise ValueError(f"{path}: no such file or folder")
+    if not fs.getFileStatus(root).isDirectory():
+        return path
+    names = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().endswith(".parquet"))
+    if preferred in names:
+        return f"{path.rstrip('/')}/{preferred}"
+    if len(names) == 1:
+        return f"{path.rstrip('/')}/{names[0]}"
+    raise ValueError(f"{path}: {len(names)} parquet sources and no preferred one among them: {names[:5]}")
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str | None = None, low: int = 0, high: int = 0, parts: int = 1, **options) -> DataFrame:
     """A database table, read in parallel ranges of a numeric column; credentials come as options, never from code."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)

@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from affinis.plans import catalog, problems
+from affinis.plans import catalog, problems, workflows
 
-QUERIES = problems.QUERIES | catalog.QUERIES
-ORACLE = problems.ORACLE | catalog.ORACLE
+QUERIES = problems.QUERIES | catalog.QUERIES | workflows.QUERIES
+ORACLE = problems.ORACLE | catalog.ORACLE | workflows.ORACLE
 
 
 def canonical(columns, rows):
