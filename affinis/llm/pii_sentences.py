@@ -58,16 +58,16 @@ _ID_FRAMES = {
     "es": ("{c}: {i}", "{c} {i}", "su {c} es {i}", "el {c} {i} es válido", "{i} ({c})", "{i} como {c}", "{i} es el {c}", "mi {c} lleva {i}"),
 }
 _PHONE_FRAMES = {
-    "en": ("call me on {p}", "Phone: {p}", "phone {p}", "tel. {p}", "Tel: {p} after six", "reach her at {p}", "{p} (mobile)", "{p} is the office number", "mobile {p}", "ring {p} tomorrow", "fax {p}", "my number is {p}", "dial {p}", "text {p} if late", "({p})"),
-    "de": ("rufen Sie {p} an", "Telefon: {p}", "Tel. {p}", "unter {p} erreichbar", "{p} (mobil)", "Handy {p}", "Rufnummer {p}", "meine Nummer ist {p}", "Fax {p}", "Durchwahl {p}", "{p} (privat)"),
-    "fr": ("appelez le {p}", "Téléphone : {p}", "tél. {p}", "joignable au {p}", "{p} (portable)", "portable {p}", "mon numéro est le {p}", "fax {p}", "composez le {p}", "numéro {p}"),
-    "es": ("llame al {p}", "Teléfono: {p}", "tel. {p}", "tfno. {p}", "disponible en el {p}", "{p} (móvil)", "móvil {p}", "mi número es el {p}", "fax {p}", "marque el {p}"),
+    "en": ("call me on {p}", "Phone: {p}", "phone {p}", "tel. {p}", "Tel: {p} after six", "reach her at {p}", "{p} (mobile)", "{p} is the office number", "mobile {p}", "ring {p} tomorrow", "fax {p}", "my number is {p}", "dial {p}", "text {p} if late", "({p})", "in case of trouble {p}", "front desk {p}", "{p}, any time"),
+    "de": ("rufen Sie {p} an", "Telefon: {p}", "Tel. {p}", "unter {p} erreichbar", "{p} (mobil)", "Handy {p}", "Rufnummer {p}", "meine Nummer ist {p}", "Fax {p}", "Durchwahl {p}", "{p} (privat)", "im Notfall {p}", "bei Fragen {p} anrufen", "Empfang {p}", "{p} wählen"),
+    "fr": ("appelez le {p}", "Téléphone : {p}", "tél. {p}", "joignable au {p}", "{p} (portable)", "portable {p}", "mon numéro est le {p}", "fax {p}", "composez le {p}", "numéro {p}", "urgence : {p}", "accueil {p}", "pour réserver : {p}", "en cas de doute : {p}"),
+    "es": ("llame al {p}", "Teléfono: {p}", "tel. {p}", "tfno. {p}", "disponible en el {p}", "{p} (móvil)", "móvil {p}", "mi número es el {p}", "fax {p}", "marque el {p}", "en caso de duda, {p}", "urgencias: {p}", "pregunte en el {p}", "recepción {p}", "mande un mensaje al {p}"),
 }
 _MAIL_FRAMES = {
-    "en": ("write to {e}", "mail: {e}", "E-mail {e}", "contact {e} today", "{e} has it", "send it to {e}", "my address is {e}", "from {e}", "(see {e})", "reply to <{e}>", "mailto:{e}", "{e}"),
-    "de": ("schreiben Sie an {e}", "E-Mail: {e}", "Mail an {e}", "Kontakt {e}", "{e} hat es", "Datei bei {e}", "<{e}>", "von {e}", "meine Adresse ist {e}"),
-    "fr": ("écrivez à {e}", "courriel : {e}", "e-mail {e}", "contact {e}", "fichier chez {e}", "<{e}>", "de {e}", "mon adresse est {e}"),
-    "es": ("escriba a {e}", "correo: {e}", "e-mail {e}", "contacto {e}", "archivo en {e}", "<{e}>", "de {e}", "mi correo es {e}"),
+    "en": ("write to {e}", "mail: {e}", "E-mail {e}", "contact {e} today", "{e} has it", "send it to {e}", "my address is {e}", "from {e}", "(see {e})", "reply to <{e}>", "mailto:{e}", "{e}", "forward it to {e} please", "with a copy to {e}"),
+    "de": ("schreiben Sie an {e}", "E-Mail: {e}", "Mail an {e}", "Kontakt {e}", "{e} hat es", "Datei bei {e}", "an {e} schicken", "mit Kopie an {e}", "Antwort an {e} genügt", "<{e}>", "von {e}", "meine Adresse ist {e}"),
+    "fr": ("écrivez à {e}", "courriel : {e}", "e-mail {e}", "contact {e}", "fichier chez {e}", "<{e}>", "de {e}", "avec copie à {e}", "à transmettre à {e} vite", "mon adresse est {e}"),
+    "es": ("escriba a {e}", "correo: {e}", "e-mail {e}", "contacto {e}", "archivo en {e}", "<{e}>", "de {e}", "con copia a {e}", "envíe el archivo a {e} hoy", "mi correo es {e}"),
 }
 _HOME_FRAMES = {
     "en": ("lives at {a}, {z}", "Address: {a}, {z}", "send it to {a}, {z}", "{a}, {z}", "moved to {a} in May", "the parcel went to {a}", "delivered to {a}, {z}", "we are at {a}", "home: {a}"),
@@ -80,7 +80,7 @@ _NOTHING = (
     "Lot {d4}-{d2}-{d3}", "batch {d3} {d3} {d3}", "CAS {d2}-{d2}-{d1}", "order no. {d7}", "Bestellung {d7}", "pedido {d3}-{d4}", "doi 10.{d4}/x.{d4}.{d2}", "ref. {y}/{d2}-{d1}", "plates {d3}-{d3}", "{d3}.{d1} nM", "{d2}–{d2}", "CHEMBL{d7}", "{y}-0{d1}-{d2}",
     "{d1}.{d2}.{y}", "{d3},{d2} %", "{U}{U}{U}-{d4}", "version {d1}.{d1}.{d2}", "ISBN 978-{d1}-{d4}-{d4}-{d1}", "room {d3}", "Invoice {d6}", "Rechnung Nr. {d6}", "facture n° {d6}", "pages {d3}-{d3}", "at {d2} dot blots", "{d1} x {d3}", "IP 10.{d2}.{d3}.{d1}", "The North {W} Institute", "New {W}", "the {W} Street Journal",
     "Santa {W}", "The Blue {W}", "{W} Research Centre", "Der Rote {W}", "Das {W} Verfahren", "Le Grand {W}", "La Casa {W}", "at the counter", "Table {d2}. Results", "Figure {d1}b", "pH {d1}.{d1}", "Plate {U}{d2}", "{W} buffer {d3}", "Dear colleagues", "Liebe Kollegen", "Cher public", "Estimados clientes", "Thank you",
-    "Monday Morning", "step {d1} of {d2}", "item {d7}", "Catalogue {d3}-{d3}", "sample {U}{d3}{U}", "Kind regards", "{d3} {d3} cells", "{d2}:{d2} h", "The {W} method", "Please ask about it", "SKU {d4}{U}{d3}", "EC {d1}.{d1}.{d1}.{d2}", "serial number {d4}{U}{U}{d2}", "C{d1}H{d2}O{d1}", "Port {W} Basin", "Mount {W}", "Polymer {W}", "the {W} catalyst", "Rezeptor {W}", "Lake {W} Station", "Radikal {W}", "Cape {W}", "dimère {W}", "{W} {W} cells", "Gasthof {W}", "Hôtel {W}", "plaza {W}", "{d2} The {W}",
+    "Monday Morning", "step {d1} of {d2}", "item {d7}", "Catalogue {d3}-{d3}", "sample {U}{d3}{U}", "Kind regards", "{d3} {d3} cells", "{d2}:{d2} h", "The {W} method", "Please ask about it", "SKU {d4}{U}{d3}", "EC {d1}.{d1}.{d1}.{d2}", "serial number {d4}{U}{U}{d2}", "C{d1}H{d2}O{d1}", "Port {W} Basin", "Mount {W}", "Polymer {W}", "the {W} catalyst", "Rezeptor {W}", "Lake {W} Station", "Radikal {W}", "Cape {W}", "dimère {W}", "{W} {W} cells", "Gasthof {W}", "Hôtel {W}", "plaza {W}", "{d2} The {W}", "{d2} tubes", "{d2} Minuten lang", "{d2} Stunden", "{d2} minutes", "on {y}-0{d1}-{d2}", "sent {y}-0{d1}-{d2}", "{d2} Proben", "after {d3} days", "{d1} cm", "{d2} Grad Celsius", "{d2} jours", "{d2} muestras", "{d3} g", "parcel {d2}-{d4}", "Order {d2}-{d4}", "box {d2} of {d2}",
 )
 _TYPES = ("Street", "St", "Road", "Rd", "Lane", "Avenue", "Ave", "Crescent", "Close", "Drive", "Way", "Court", "Place", "Square", "Terrace", "Gardens", "Hill", "Row", "St.", "Rd.", "Ave.", "Ln.")
 _DOMAINS = ("com", "org", "net", "de", "fr", "es", "co.uk", "example", "test", "invalid", "edu", "io", "info")
@@ -186,6 +186,29 @@ def address(rng: random.Random, lang: str) -> tuple[str, str]:
     return f"{kind} {rng.choice(('', 'de ', 'del ', 'de la '))}{w}{rng.choice((', ', ' ', ', n.º ', ', núm. '))}{n}", f"{zip_} {town}"
 
 
+def _carrier(rng: random.Random) -> list[Piece]:
+    """A piece between invented words, where nothing but its own shape tells what it is; or numbers and names of nothing."""
+    some = lambda: " ".join(word(rng, rng.random() < 0.12) for _ in range(rng.randint(1, 4)))
+    first = some()
+    first = first[0].upper() + first[1:]
+    r = rng.random()
+    if r < 0.45:
+        title = rng.choice(_TITLES[rng.choice(tuple(_TITLES))]) if rng.random() < 0.3 else ""
+        middle: list[Piece] = [("", title), ("name", name(rng))]
+        first = first if rng.random() < 0.5 else first.lower()
+        first = first if title else first.rsplit(" ", 1)[0] + " " + first.rsplit(" ", 1)[-1].lower() if " " in first else first + " " + word(rng, False)
+    elif r < 0.65:
+        middle = [("email", email(rng))]
+    elif r < 0.8:
+        number = phone(rng)
+        while number[0] not in "+(" and not number.startswith("00"):
+            number = phone(rng)
+        middle = [("phone", number)]
+    else:
+        middle = [("", rng.choice((f"{rng.randint(2, 99)} {word(rng, rng.random() < 0.3)}", f"{_digits(rng, 4)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}", f"{_digits(rng, 2)}-{_digits(rng, 4)}", f"{rng.randint(2, 900)} {word(rng, False)} {word(rng, False)}", word(rng))))]
+    return [("", first + " "), *middle, ("", rng.choice((" ", " ", ", ")) + some())]
+
+
 def _fill(frame: str, values: dict[str, list[Piece]]) -> list[Piece]:
     out: list[Piece] = []
     for part in frame.replace("{", "\0{").replace("}", "}\0").split("\0"):
@@ -198,6 +221,12 @@ def _fill(frame: str, values: dict[str, list[Piece]]) -> list[Piece]:
 
 def sentence(rng: random.Random, lang: str) -> list[Piece]:
     """A sentence in parts: those with a kind are personal information."""
+    if rng.random() < 0.25:
+        return _carrier(rng)
+    if rng.random() < 0.12:  # one piece right after another
+        a, z = address(rng, lang)
+        second = rng.choice(([("address", a), ("", f", {z}")], [("email", email(rng))], [("phone", phone(rng))], [("name", name(rng))]))
+        return [("", rng.choice(("", "to ", "von ", "à ", "para ", "cc: "))), ("name", name(rng)), ("", rng.choice((", ", " (", ", ", " / ", "\n"))), *second]
     r = rng.random()
     if r < 0.22:
         text = rng.choice(_NOTHING)

@@ -19,7 +19,8 @@ from affinis.llm import pii
 from affinis.llm.pii_rules import learnt_names, with_learnt_names
 from affinis.session import local_session
 
-SAMPLE, INVENTED = 10_000, 14_000
+SAMPLE, INVENTED = 10_000, 16_000
+RATE = 5e-3
 HIDDEN, EPOCHS, BATCH, WORKERS = 40, 24, 256, 8
 
 
@@ -46,7 +47,7 @@ def main(folder: str, again: bool = False) -> None:
 
     windows, tags = pii.training_windows(texts[:cut], INVENTED)
     with multiprocessing.get_context("fork").Pool(WORKERS) as pool:
-        weights = tagger.train(windows, tags, pii.N_TAGS, hidden=HIDDEN, epochs=EPOCHS, batch=BATCH, rate=6e-3, say=say, pool=pool, workers=WORKERS, start=pii.load() if again else None)
+        weights = tagger.train(windows, tags, pii.N_TAGS, hidden=HIDDEN, epochs=EPOCHS, batch=BATCH, rate=RATE, say=say, pool=pool, workers=WORKERS, start=pii.load() if again else None)
     pii.save(weights)
 
 

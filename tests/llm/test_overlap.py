@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from affinis.functions.ids import molecule_key
 from affinis.llm import overlap
-from affinis.llm.scaffold_text import atoms, canonical_tokens
+from affinis.llm.scaffold_text import atoms, canonical_tokens, elements
 
 
 def tokens(s):
@@ -98,6 +98,54 @@ def test_rows(spark):
     assert got == {(1, 2), (3, 2), (1, 4), (8, 9)}
 
 
+def test_ring_numbers_stay():
+    body = lambda s: elements(canonical_tokens(s))[0]
+    far = lambda a, b: overlap._edit_distance(body(a), body(b), 2)
+    assert far("C1CCCCC1N", "C1CCCCC1O") == 1 and far("C1CCCCC1N", "C1CCCCCC1N") == 1 and far("C1CCCCC1", "C1CCCCC1=O") == 1
+    assert far("C1CCCC1CC", "C1CCCCC1C") == 2  # one atom out of the ring, one into it
+    assert far("C1CCCCC1", "CCCCCC") == 3 and far("C1CC1C1CC1", "C1CCC1CC") == 3
+    assert far("C1=CCCCC1", "C1CCCCC1") == 1
+
+
+def counts(spark, rows, split=10):
+    df = spark.createDataFrame(rows, SCHEMA)
+    fold = F.col("fold")
+    return df, (df, "row_id", molecule_key(F.col("mol")), F.col("scaffold"), fold.between(9, 10), fold.between(1, 8))
+
+
+def test_counts_are_those_of_the_pairs(spark):
+    rng = random.Random(4)
+    base = ["c1ccccc1CCCCCCCCCC", "C1CCNCC1CC", "C1CC1", "c1ccsc1CCO"]
+    rows = []
+    for i in range(300):
+        s = rng.choice([*base, None, ""])
+        if s and rng.random() < 0.5:
+            s = s.replace("CC", "CN", 1) if rng.random() < 0.5 else s + "O"
+        rows.append((i, rng.choice([f"CHEMBL{rng.randrange(40)}", None]), s, rng.choice([1, 2, 9, 10, 10, None]), rng.choice("xy")))
+    df, args = counts(spark, rows)
+    groups = {"fold": F.col("fold"), "eval_row": F.col("eval_row")}
+    got = {(r["fold"], r["eval_row"]): (r["n_pairs"], r["n_eval_rows"], r["n_train_rows"]) for r in overlap.overlap_counts(*args, groups).collect()}
+    pairs = overlap.cross_split_overlap(*args, {"fold": F.col("fold"), "g": F.col("eval_row")}).select("eval_fold", "eval_g", "eval_row", "train_row")
+    rows_ = [tuple(r) for r in pairs.collect()]
+    assert len(rows_) == len(set(rows_))
+    want = {}
+    for f, g, e, t in rows_:
+        want.setdefault((f, g), []).append((e, t))
+    assert got == {k: (len(v), len({e for e, _ in v}), len({t for _, t in v})) for k, v in want.items()}
+
+
+def test_large_classes(spark):
+    """One scaffold in 100,000 rows on either side is counted without its pairs; in blocks every pair comes out once."""
+    n = 100_000
+    one = lambda k: spark.range(2 * k).select(F.col("id").alias("row_id"), F.lit(None).cast("string").alias("mol"), F.lit("c1ccccc1CC").alias("scaffold"), F.when(F.col("id") < k, 9).otherwise(1).alias("fold"), F.lit("x").alias("eval_row"))
+    fold = F.col("fold")
+    args = lambda k: (one(k), "row_id", F.col("mol"), F.col("scaffold"), fold == 9, fold == 1)
+    r = overlap.overlap_counts(*args(n), {"fold": fold}).collect()
+    assert [(x["n_pairs"], x["n_eval_rows"], x["n_train_rows"]) for x in r] == [(n * n, n, n)]
+    pairs = overlap.cross_split_overlap(*args(1500)).agg(F.count(F.lit(1)), F.count_distinct("eval_row", "train_row")).first()
+    assert tuple(pairs) == (1500 * 1500, 1500 * 1500)
+
+
 def test_nothing(spark):
     assert run(spark, []).count() == 0
     assert run(spark, [(1, "CHEMBL1", "CC", 9, None)]).count() == 0
@@ -108,8 +156,8 @@ def test_against_all_pairs(spark, data):
 
     m = pd.read_parquet(f"{data}/final_training_meta.parquet")
     m = m[m.cv_fold.between(1, 10)]
-    m["mol"] = m.mol_chembl_id.str.upper().str.replace(r"[\s:_\-]+", "", regex=True)
-    m["chain"] = [tuple(atoms(canonical_tokens(s))) if isinstance(s, str) else () for s in m.scaffold_smiles]
+    m["mol"] = m.mol_chembl_id.str.upper().str.replace(r"[\s:_\-]+", "", regex=True).str.replace(r"^CHEMBL0+", "CHEMBL", regex=True)
+    m["chain"] = [tuple(elements(canonical_tokens(s))[0]) if isinstance(s, str) else () for s in m.scaffold_smiles]
     want = set()
     train = m[m.cv_fold < 9]
     near: dict = {}

@@ -7,7 +7,7 @@ import pytest
 
 from affinis.llm import bpe, char_tagger, leaks, pii
 from affinis.llm.passage_match import best_passage, longest_common_subsequence, words
-from affinis.llm.pii_rules import labelled
+from affinis.llm.pii_rules import labelled, learnt_names, with_learnt_names
 
 VOCABULARY = Path(bpe.TOKENIZER_DIR) / "byte_bpe_50k.json"
 
@@ -112,6 +112,36 @@ def test_leaks(spark):
     assert leak_rows(spark, docs) == {(1, 1), (2, 1), (7, 1), (9, 1)}
 
 
+def test_paraphrases(spark):
+    """Without a run of twelve words, but with the words that only this item has, and most others in their order."""
+    w = ITEM.split()
+    near = " ".join(x for i, x in enumerate(w) if i not in (1, 2, 5, 10, 14))
+    d = spark.createDataFrame([(1, near), (2, " ".join(w[:8])), (3, ITEM)], "doc_id long, text string")
+    other = "Every cold lamp near the vessel stays dark while some other capsid slowly leaves the warm rim of the place"
+    b = spark.createDataFrame([(1, "The hollow capsid softly mirrors the rim of the warm vessel while the lamp stays dark and cold 53"), (2, other)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in leaks.find_leaks(d, "doc_id", "text", b, "item_id", "text").collect()}
+    assert not got[3, 1]["paraphrase"] and got[3, 1]["words"] == len(w)
+    assert all(r["words"] == 0 and r["answer"] for r in got.values() if r["paraphrase"])
+    assert (2, 1) not in got
+
+
+def test_suite_in_parts(spark, monkeypatch):
+    """A suite larger than one pass holds gives the same rows in parts."""
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(20))) for i in range(40)]
+    docs = [(i, "before it " + t + " after it") for i, t in items[::3]] + [(99, "nothing of it")]
+    whole = leak_rows(spark, docs, items)
+    assert whole == {(i, i) for i, _ in items[::3]}
+    monkeypatch.setattr(leaks, "PART_WORDS", 250)
+    assert leak_rows(spark, docs, items) == whole
+
+
+def test_long_text_and_item(spark):
+    rng = np.random.default_rng(3)
+    long = " ".join(f"n{x}" for x in rng.integers(0, 4000, 60_000))
+    assert leak_rows(spark, [(1, long + " " + ITEM), (2, long)]) == {(1, 1)}
+
+
 def test_leaks_of_nothing(spark):
     assert leak_rows(spark, []) == set()
     assert leak_rows(spark, [(1, ITEM)], [(3, None)]) == set()
@@ -154,8 +184,8 @@ def test_gradients():
 def test_training_learns():
     rng = random.Random(1)
     texts = [f"{rng.choice(['we saw', 'then', 'call'])} {rng.randint(10, 99)} by Tel. +44 {rng.randint(1000, 9999)} {rng.randint(100, 999)} {rng.randint(100, 999)} today" for _ in range(200)]
-    weights = pii.fit(texts, hidden=8, epochs=6, copies=0)
-    spans = pii.tag_texts(weights, texts[:20], 0.0)
+    weights = char_tagger.train(*pii.training_windows(texts, 0), pii.N_TAGS, hidden=8, epochs=6)
+    spans = pii.tag_texts(weights, texts[:20])
     assert sum(any(k == "phone" for k, *_ in s) for s in spans) >= 18
 
 
@@ -198,10 +228,11 @@ def test_find_pii(spark):
 
 
 def test_held_out_recall(data):
-    """Pieces beyond doubt in texts the tagger was not trained on are met, and few of its own passages are added."""
+    """Pieces beyond doubt in texts the tagger was not trained on come out; names beside them are those of sure ones."""
     texts = [t for t in pd.read_parquet("/root/testdata/sf0.01/documents.parquet").text if isinstance(t, str)]
     spans = pii.tag_texts(pii.load(), texts)
-    want = sum(len(labelled(t)) for t in texts)
+    labels = [with_learnt_names(t, *learnt_names(texts)) for t in texts]
+    want = sum(map(len, labels))
     got = [pii.checked(t, s) for t, s in zip(texts, spans)]
-    hit = sum(len(set(labelled(t)) & set(g)) for t, g in zip(texts, got))
-    assert hit >= 0.98 * want and sum(map(len, got)) <= 1.03 * want
+    hit = sum(len(set(w) & set(g)) for w, g in zip(labels, got))
+    assert hit >= 0.95 * want and sum(map(len, got)) <= 1.05 * want
