@@ -124,7 +124,7 @@ def latent_basis(texts: DataFrame, items: DataFrame, passes: int = 2) -> tuple[n
     the few topics of a small suite would be lost among the texts.
     """
     spark = texts.sparkSession
-    few = max(3 * spark.sparkContext.defaultParallelism, -(-texts.rdd.getNumPartitions() // PARTITIONS_A_TASK))
+    few = max(spark.sparkContext.defaultParallelism, -(-texts.rdd.getNumPartitions() // PARTITIONS_A_TASK))
     texts = texts.select("w").coalesce(few)
     idf = _inverse_frequency(texts)
     both = texts.withColumn("item", F.lit(False)).unionByName(items.select("w").withColumn("item", F.lit(True)))
@@ -202,6 +202,7 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             (keys, numbers, own_words), (idf, basis) = own.value, shared.value
+            known = [_Item(w, o) for w, o in zip(numbers, own_words)]
             b, owner, start, end = _passages(numbers, ITEM_WINDOW, ITEM_STEP)
             z = [_unit(_project(b[low:high], start[s] - low, end[s] - low, idf, basis)) for s, low, high in _slices(start, end)]
             for d in frames:
@@ -210,7 +211,7 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
                 for t, i, c, low, high in _near(body, idf, basis, z, owner) if z else ():
                     # a passage that meets the candidate reaches at most so far beyond it
                     reach = len(numbers[i]) + len(numbers[i]) // WORDS_PER_EDIT
-                    found = _tested(numbers[i], body[t][max(low - reach, 0) : high + reach], own_words[i])
+                    found = _tested(known[i], body[t][max(low - reach, 0) : high + reach])
                     if found:
                         out.append((part_keys[t], keys[i], *found[:3], c, *found[3:]))
                 if out:
@@ -238,16 +239,30 @@ def _near(body: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, z: list[np
     return [(t, i, c, a, e) for (t, i), (c, a, e) in near.items()]
 
 
-def _tested(item: np.ndarray, body: np.ndarray, own: np.ndarray) -> tuple[int, int, int, bool, bool] | None:
+class _Item:
+    """An item with the sets that tell quickly what a text can hold of it."""
+
+    def __init__(self, words_: np.ndarray, own: np.ndarray):
+        self.words, listed = words_, words_.tolist()
+        self.known, self.pairs, self.own = frozenset(listed), frozenset(zip(listed, listed[1:])), frozenset(own.tolist())
+
+
+def _tested(item: _Item, body: np.ndarray) -> tuple[int, int, int, bool, bool] | None:
     """(words, edits, lcs, answer, paraphrase) of an item in a stretch of text, or None."""
     least_common = LEAST_WORDS - LEAST_WORDS // WORDS_PER_EDIT
-    if np.isin(body, item).sum() < least_common:
+    listed, known = body.tolist(), item.known
+    if sum(w in known for w in listed) < least_common:
+        return None
+    # an edit breaks two pairs of neighbours at most, so a passage keeps this many of them
+    pairs = item.pairs
+    whole = sum(p in pairs for p in zip(listed, listed[1:])) >= LEAST_WORDS - 1 - 2 * (LEAST_WORDS // WORDS_PER_EDIT)
+    answer = item.own.issubset(listed)
+    if not whole and not (answer and item.own):
         return None
-    lcs = longest_common_subsequence(item, body)
+    lcs = longest_common_subsequence(item.words, body)
     if lcs < least_common:
         return None
-    answer = bool(np.isin(own, body).all())
-    n, edits = best_passage(item, body, LEAST_WORDS, WORDS_PER_EDIT)
+    n, edits = best_passage(item.words, body, LEAST_WORDS, WORDS_PER_EDIT) if whole else (0, 0)
     if n:
         return n, edits, lcs, answer, False
-    return (0, 0, lcs, True, True) if len(own) and answer and lcs >= PARAPHRASE_SHARE * len(item) else None
+    return (0, 0, lcs, True, True) if item.own and answer and lcs >= PARAPHRASE_SHARE * len(item.words) else None
