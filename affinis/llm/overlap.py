@@ -215,30 +215,32 @@ def near_pairs(chains: DataFrame) -> DataFrame:
 
 
 def _base(df: DataFrame, row: str, molecule: Column, scaffold: Column, is_eval: Column, is_train: Column, extra: dict[str, Column]) -> DataFrame:
-    """The rows of both splits: __row, __mol, __scaffold, __eval and the extra columns."""
-    return df.select(
+    """The rows of both splits: __row, __mol, __scaffold, __eval and the extra columns, written once for all steps."""
+    return cut_lineage(df.select(
         F.col(row).alias("__row"), molecule.alias("__mol"), F.nullif(F.trim(scaffold), F.lit("")).alias("__scaffold"),
         F.when(is_eval, True).when(is_train, False).alias("__eval"), *(c.alias(n) for n, c in extra.items()),
-    ).filter("__eval IS NOT NULL")
+    ).filter("__eval IS NOT NULL"))
 
 
 def scaffold_classes(base: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members: __scaffold, class; links: eval_class, train_class) of the distinct scaffold writings of both splits.
+    """(members: __scaffold, class, n_eval, n_train; links: eval_class, train_class) of the distinct scaffold writings of both splits.
 
     A class is one writing of a ring system; links join the classes that are the same or almost the same and stand on
     either side.  Scaffolds are compared once for each class, not for each row.
     """
-    written = base.filter("__scaffold IS NOT NULL").groupBy("__scaffold").agg(F.max("__eval").alias("in_eval"), F.max(~F.col("__eval")).alias("in_train"))
-    classed = written.select("__scaffold", "in_eval", "in_train", _write("__scaffold").alias("w")).select("__scaffold", "in_eval", "in_train", "w.*").filter("body IS NOT NULL")
+    written = base.filter("__scaffold IS NOT NULL").groupBy("__scaffold").agg(F.count_if("__eval").alias("n_eval"), F.count_if(~F.col("__eval")).alias("n_train"))
+    classed = written.select("__scaffold", "n_eval", "n_train", _write("__scaffold").alias("w")).select("__scaffold", "n_eval", "n_train", "w.*").filter("body IS NOT NULL")
     classed = cut_lineage(classed)
-    chains = classed.groupBy("body").agg(*(F.first(c).alias(c) for c in ("rings", "atoms", "code")), F.max("in_eval").alias("in_eval"), F.max("in_train").alias("in_train"))
+    chains = classed.groupBy("body").agg(*(F.first(c).alias(c) for c in ("rings", "atoms", "code")), (F.sum("n_eval") > 0).alias("in_eval"), (F.sum("n_train") > 0).alias("in_train"))
     same = chains.filter("in_eval AND in_train").select(F.col("body").alias("eval_class"), F.col("body").alias("train_class"))
-    return classed.select("__scaffold", F.col("body").alias("class")), cut_lineage(same.unionByName(near_pairs(chains)))
+    return classed.select("__scaffold", F.col("body").alias("class"), "n_eval", "n_train"), cut_lineage(same.unionByName(near_pairs(chains)))
 
 
-def _every_pair(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """The join on ``key``, in which a key of many rows on both sides is spread as a grid of blocks over many tasks."""
-    sizes = left.groupBy(key).agg(F.count(F.lit(1)).alias("l")).join(right.groupBy(key).agg(F.count(F.lit(1)).alias("r")), key)
+def _every_pair(left: DataFrame, right: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """The join on ``key``, in which a key of many rows on both sides is spread as a grid of blocks over many tasks.
+
+    ``sizes`` (key, l, r) has the rows of each key on either side.
+    """
     blocks = lambda c: F.ceil(F.col(c) / PAIR_BLOCK).cast("int")
     hot = sizes.filter(F.col("l") * F.col("r") > PAIR_BLOCK * PAIR_BLOCK).select(key, blocks("l").alias("__nl"), blocks("r").alias("__nr"))
     one = F.lit(1)
@@ -276,15 +278,19 @@ def cross_split_overlap(
         *keep, *(F.col(c).alias(("eval_" if e else "train_") + c.removeprefix("__")) for c in ("__row", *extra))
     )
     has_mol = base.filter("__mol IS NOT NULL")
-    by_mol = _every_pair(side(has_mol, True, "__mol"), side(has_mol, False, "__mol"), "__mol")
+    sizes = cut_lineage(has_mol.groupBy("__mol").agg(F.count_if("__eval").alias("l"), F.count_if(~F.col("__eval")).alias("r")).filter("l > 0 AND r > 0"))
+    by_mol = _every_pair(side(has_mol, True, "__mol"), side(has_mol, False, "__mol"), sizes, "__mol")
     members, links = scaffold_classes(base)
-    e_rows = links.join(members.withColumnRenamed("class", "eval_class"), "eval_class").select("__scaffold", "train_class")
-    t_rows = links.select("train_class").distinct().join(members.withColumnRenamed("class", "train_class"), "train_class")
+    e_rows = links.join(members.select("__scaffold", F.col("class").alias("eval_class")), "eval_class").select("__scaffold", "train_class")
+    t_rows = links.select("train_class").distinct().join(members.select("__scaffold", F.col("class").alias("train_class")), "train_class")
     rows = base.filter("__scaffold IS NOT NULL")
     left = side(rows, True, "__scaffold", F.col("__mol").alias("eval_mol")).join(e_rows, "__scaffold").drop("__scaffold")
     right = side(rows, False, "__scaffold", F.col("__mol").alias("train_mol")).join(t_rows, "__scaffold").drop("__scaffold")
     # pairs of one molecule are there already
-    by_scaffold = _every_pair(left, right, "train_class").filter(~F.coalesce(F.col("eval_mol") == F.col("train_mol"), F.lit(False))).drop("eval_mol", "train_mol")
+    n = members.groupBy("class").agg(F.sum("n_eval").alias("n_eval"), F.sum("n_train").alias("n_train"))
+    l = links.join(n.withColumnRenamed("class", "eval_class"), "eval_class").groupBy("train_class").agg(F.sum("n_eval").alias("l"))  # noqa: E741
+    sizes = l.join(n.select(F.col("class").alias("train_class"), F.col("n_train").alias("r")), "train_class")
+    by_scaffold = _every_pair(left, right, sizes, "train_class").filter(~F.coalesce(F.col("eval_mol") == F.col("train_mol"), F.lit(False))).drop("eval_mol", "train_mol")
     return by_mol.unionByName(by_scaffold)
 
 
@@ -305,7 +311,7 @@ def overlap_counts(
     names = list(by)
     base = _base(df, row, molecule, scaffold, is_eval, is_train, by)
     members, links = scaffold_classes(base)
-    units = base.join(members, "__scaffold", "left").groupBy("__eval", "__mol", "class", *names).agg(F.count(F.lit(1)).alias("n"))
+    units = base.join(members.select("__scaffold", "class"), "__scaffold", "left").groupBy("__eval", "__mol", "class", *names).agg(F.count(F.lit(1)).alias("n"))
     units = cut_lineage(units)
     e = units.filter("__eval").select(F.col("__mol").alias("mol"), F.col("class").alias("eval_class"), F.struct(*names).alias("g"), "n")
     t = units.filter("NOT __eval").groupBy(F.col("__mol").alias("mol"), F.col("class").alias("train_class")).agg(F.sum("n").alias("n"))
