@@ -73,14 +73,17 @@ def test_the_tagger_decides():
     assert pii.checked(text, everything) == []  # no name holds digits
 
 
-def test_texts_longer_than_windows():
+def test_windows_change_nothing(monkeypatch):
+    """Wherever a piece stands, across the borders of windows too, the result is that of one window over the whole text."""
     weights = pii.load()
     filler = "The control series slows the smell of the mixture. "
     one = "Please write to Tom Barrow, 14 Ferncliff Avenue. "
-    for n in (3, 4, 5, 6, 7):
-        text = filler * n + one + filler * n
-        spans = pii.checked(text, pii.tag_texts(weights, [text])[0])
-        assert [(k, f) for k, _, _, f in spans] == [("name", "Tom Barrow"), ("address", "14 Ferncliff Avenue")]
+    texts = [filler * n + one + filler * (9 - n) for n in range(10)] + [filler * n + "x" * (n % 7) + " Mail tom.barrow@oldmill.org.uk now. " + filler * 4 for n in range(10)]
+    parts = [pii.checked(t, s) for t, s in zip(texts, pii.tag_texts(weights, texts))]
+    monkeypatch.setattr(pii, "WINDOW", 4096)
+    monkeypatch.setattr(pii, "STEP", 4000)
+    assert parts == [pii.checked(t, s) for t, s in zip(texts, pii.tag_texts(weights, texts))]
+    assert all(p[0][3] == "Tom Barrow" for p in parts[:10]) and all(p[0][3] == "tom.barrow@oldmill.org.uk" for p in parts[10:])
     assert pii.tag_texts(weights, ["", "a"]) == [[], []]
 
 
