@@ -178,7 +178,7 @@ def target_sample(df: DataFrame, row: str, columns: dict[str, Column], targets:
     keyed = cut_lineage(weighted.select("__row", *dims, F.when(p > 0, key / (key + 1.0)).alias("__k")))
 
     border = _border(keyed, size)
-    flagged = keyed.withColumn("__in", F.coalesce(F.struct("__k", "__row") <= F.struct(F.lit(border[0]), F.lit(border[1]).cast(df.schema[row].dataType)), F.lit(False)) if border else F.lit(False))
+    flagged = keyed.withColumn("__in", F.coalesce(F.col("__k").isNotNull() & (F.struct("__k", "__row") <= F.struct(F.lit(border[0]), F.lit(border[1]).cast(df.schema[row].dataType))), F.lit(False)) if border else F.lit(False))
     sampled = _margins(flagged, dims)
     short = {}
     for t in stated.itertuples():
