@@ -17,10 +17,30 @@ def _assigned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, fl
     return splits.assign_splits(parts, shares), shares
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows with the split of their pair."""
+    meta = table(spark, sf_dir, "final_training_meta").select("row_id", "pair_id", "cv_fold")
+    return splits.split_rows(meta, pair_key(F.col("pair_id")), F.col("row_id"), _assigned(spark, sf_dir)[0])
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that stood in several folds and that the assignment brings into one split."""
-    rows = splits.split_rows(table(spark, sf_dir, "final_training_meta").select("row_id", "pair_id", "cv_fold"), pair_key(F.col("pair_id")), F.col("row_id"), _assigned(spark, sf_dir)[0])
-    return splits.mixed_folds(rows, F.col("cv_fold")).select(F.col("key").alias("pair_id"))
+    return splits.mixed_folds(_placed(spark, sf_dir), F.col("cv_fold")).select(F.col("key").alias("pair_id"))
+
+
+def p1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair with its rows and the number of splits they stand in, which must be one."""
+    g = _placed(spark, sf_dir).filter(F.col("component").startswith("k:")).groupBy(F.substring("component", 3, 1 << 30).alias("pair_id"))
+    return g.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("split").alias("n_splits"))
+
+
+def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each split has its share of the rows and of the labelled rows to within the largest component."""
+    assigned, shares = _assigned(spark, sf_dir)
+    all_ = assigned.agg(F.sum("n_rows").alias("all_rows"), F.sum("n_label").alias("all_labels"), F.max("n_rows").alias("step_rows"), F.max("n_label").alias("step_labels"))
+    d = splits.split_report(assigned, shares).crossJoin(F.broadcast(all_))  # one row
+    near = lambda n, whole, step: F.abs(F.col(n) - F.col("target_share") * F.col(whole)) <= F.col(step)
+    return d.select("split", "all_rows", "all_labels", near("n_rows", "all_rows", "step_rows").alias("rows_met"), near("n_label", "all_labels", "step_labels").alias("labels_met"))
 
 
 def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +110,18 @@ def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quarter(spark, sf_dir).rows
 
 
+def p7_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each category's rows, whether they reach what is wanted, and whether the sample has the minimum or all there is."""
+    return _quarter(spark, sf_dir).report.select("dimension", "category", "supply", "fillable", (F.col("sampled") >= F.least("min_rows", "supply")).alias("least_met"))
+
+
+def p7_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows drawn, different ones, and those of the table among them: three times the size of the sample."""
+    drawn = _quarter(spark, sf_dir).rows.select("row_id")
+    known = table(spark, sf_dir, "final_training_meta").select("row_id", F.lit(1).alias("known"))
+    return drawn.join(known, "row_id", "left").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("row_id").alias("n_different"), F.count("known").alias("n_known"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -120,6 +152,8 @@ def p10_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
+    "p1_whole": p1_whole,
+    "p1_shares": p1_shares,
     "p1_report": p1_report,
     "p2_sample": p2_sample,
     "p5_found": p5_found,
@@ -129,6 +163,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p7_sample": p7_sample,
+    "p7_supply": p7_supply,
+    "p7_drawn": p7_drawn,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_report": p9_report,
@@ -150,6 +186,11 @@ ORACLE = {
     "p1_found": f"""
 SELECT pair_id FROM (SELECT {PAIR_SQL} AS pair_id, cv_fold FROM final_training_meta WHERE cv_fold BETWEEN 1 AND 10)
 WHERE pair_id IS NOT NULL GROUP BY pair_id HAVING count(DISTINCT cv_fold) > 1""",
+    "p1_whole": f"""
+SELECT pair_id, count(*) AS n_rows, 1::BIGINT AS n_splits FROM (SELECT {PAIR_SQL} AS pair_id FROM final_training_meta) WHERE pair_id IS NOT NULL GROUP BY 1""",
+    "p1_shares": """
+SELECT split_name AS split, count(m.row_id) AS all_rows, count(m.row_id) FILTER (m.set_type = 'Positive') AS all_labels, true AS rows_met, true AS labels_met
+FROM split_targets CROSS JOIN final_training_meta m GROUP BY 1""",
     "p2_sample": f"""
 WITH k AS (
   SELECT {PAIR_SQL} AS pair_id, min(coalesce(batch_no, 0)) AS first_batch FROM final_training_meta WHERE pair_id IS NOT NULL GROUP BY 1),
@@ -169,4 +210,16 @@ have AS (
   UNION ALL SELECT 'time_split', lower(trim(time_split)), count(*) FROM final_training_meta GROUP BY 2)
 SELECT t.dimension, t.category FROM sample_targets t CROSS JOIN n LEFT JOIN have h ON h.dimension = t.dimension AND h.category = t.category
 WHERE t.category <> '*' AND coalesce(h.c, 0) < greatest(t.min_rows, t.target_share * n.n)""",
+    "p7_supply": """
+WITH n AS (SELECT floor(count(*) / 4) AS n FROM final_training_meta),
+have AS (
+  SELECT 'target_chembl_id' AS dimension, target_chembl_id AS category, count(*) AS c FROM final_training_meta GROUP BY 2
+  UNION ALL SELECT 'ha_bin', ha_bin::VARCHAR, count(*) FROM final_training_meta GROUP BY 2
+  UNION ALL SELECT 'cv_fold', cv_fold::VARCHAR, count(*) FROM final_training_meta GROUP BY 2
+  UNION ALL SELECT 'time_split', lower(trim(time_split)), count(*) FROM final_training_meta GROUP BY 2),
+placed AS (SELECT h.dimension, coalesce(t.category, '*') AS category, sum(c) AS c FROM have h LEFT JOIN sample_targets t ON t.dimension = h.dimension AND t.category = h.category
+  WHERE h.category IS NOT NULL GROUP BY 1, 2)
+SELECT t.dimension, t.category, coalesce(p.c, 0)::BIGINT AS supply, coalesce(p.c, 0) >= greatest(t.min_rows, t.target_share * n.n) AS fillable, true AS least_met
+FROM sample_targets t CROSS JOIN n LEFT JOIN placed p ON p.dimension = t.dimension AND p.category = t.category""",
+    "p7_drawn": "SELECT (count(*) // 4) AS n_rows, (count(*) // 4) AS n_different, (count(*) // 4) AS n_known FROM final_training_meta",
 }
