@@ -16,8 +16,9 @@ from affinis.session import cut_lineage
 SHARD_COMPONENTS = 20_000
 #: Parallel runs of each shard from differently salted starts, of which the best is kept.
 REPLICAS = 3
-#: Moves tried for each run and round: so many at least, and so many for each component of the shard.  A run ends earlier
-#: where it is nearer to the target than its smallest component, or where a late pass over all components gains nothing.
+#: Moves tried while cooling for each run and round: so many at least, and so many for each component of the shard.  Then
+#: passes over all components go on, cold, until one gains nothing; a run ends earlier where it is nearer to the target
+#: than its smallest component.
 MOVES, PASSES = 3_000, 6
 ROUNDS = 2
 
@@ -60,15 +61,21 @@ def _anneal(size: np.ndarray, start: np.ndarray, want: np.ndarray, seed: int, mo
     off = (have - want).tolist()  # plain numbers: the steps are small
     place = at.tolist()
     by_rows, by_labels = scale.tolist()
-    heat = max(best, 1e-9) / 10
+    heat = 2 * float((size * scale).sum(axis=1).mean())  # what moving a usual component changes
     moves = max(moves, PASSES * n)
     enough = float((size * scale).sum(axis=1).min())  # nothing smaller than a component can be moved
     trail: list[tuple[int, int]] = []  # changes since the best
-    for first in range(0, moves, n):
-        m = min(n, moves - first)
+    first, gained = 0, True
+    while best >= enough and (first < moves or gained):
+        if first >= moves and trail:  # cold from here on, from the best seen
+            place, trail = kept.tolist(), []
+            have = np.zeros_like(want)
+            np.add.at(have, kept, size)
+            off, now = (have - want).tolist(), best
+        m = min(n, moves - first) if first < moves else n
         one, two, to = rng.permutation(n)[:m].tolist(), rng.integers(0, n, m).tolist(), rng.integers(0, k, m).tolist()
         swap, luck = (rng.random(m) < 0.5).tolist(), rng.random(m).tolist()
-        gained = False
+        before = best
         for step in range(m):
             i = one[step]
             a = place[i]
@@ -79,7 +86,8 @@ def _anneal(size: np.ndarray, start: np.ndarray, want: np.ndarray, seed: int, mo
             dr, dl = (rows[j] - rows[i], labels[j] - labels[i]) if j >= 0 else (-rows[i], -labels[i])
             p, q = off[a], off[b]
             change = (abs(p[0] + dr) - abs(p[0]) + abs(q[0] - dr) - abs(q[0])) * by_rows + (abs(p[1] + dl) - abs(p[1]) + abs(q[1] - dl) - abs(q[1])) * by_labels
-            if change <= 0 or luck[step] < math.exp(-change / (heat * (1 - (first + step) / moves) ** 3 + 1e-12)):
+            warm = heat * max(0.0, 1 - (first + step) / moves) ** 3
+            if change <= 0 or luck[step] < math.exp(-change / (warm + 1e-12)):
                 off[a], off[b] = [p[0] + dr, p[1] + dl], [q[0] - dr, q[1] - dl]
                 place[i] = b
                 trail.append((i, b))
@@ -88,12 +96,11 @@ def _anneal(size: np.ndarray, start: np.ndarray, want: np.ndarray, seed: int, mo
                     trail.append((j, a))
                 now += change
                 if now < best - 1e-12:
-                    best, gained = now, True
+                    best = now
                     for c, s in trail:
                         kept[c] = s
                     trail.clear()
-        if best < enough or not gained and first >= moves // 2:
-            break
+        first, gained = first + m, best < before
     return kept, best
 
 
