@@ -57,6 +57,12 @@ def threshold_normalised(similarity: Column, threshold: float) -> Column:
     return clamp((similarity - F.lit(threshold)) / F.lit(1.0 - threshold), 0.0, 1.0)
 
 
+def number(text: Column, fill: float | None = None) -> Column:
+    """A text as a number; what is none, NaN and NULL become ``fill``."""
+    v = F.nanvl(F.trim(text.cast("string")).try_cast("double"), F.lit(None).cast("double"))
+    return v if fill is None else F.coalesce(v, F.lit(fill))
+
+
 def or_sentinel(size: Column, sentinel: int = 9999) -> Column:
     """A size, or a number above every limit where it is unknown or no number."""
     return F.coalesce(size.try_cast("int"), F.lit(sentinel))

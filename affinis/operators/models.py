@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinis.operators import evaluate
+from affinis.operators.pairs import stratified_folds
 from affinis.session import cut_lineage
 
 #: Coefficients of a bin with one class only; fixed values.
@@ -65,20 +68,35 @@ def score_logistic(df: DataFrame, coefficients: DataFrame, by: str, features: li
 
 
 def cross_validate(df: DataFrame, by: str, fold: str, features: list[str], label: str, c: float = 10.0) -> DataFrame:
-    """Out-of-fold scores: each fold is scored by coefficients fitted on the others.
+    """Out-of-fold scores: each fold is scored by coefficients fitted on the others.  Rows without a fold are left out."""
+    return cross_validate_models(df, by, fold, {"": features}, label, c).drop("model")
+
+
+def cross_validate_models(df: DataFrame, by: str, fold: str, sets: dict[str, list[str]], label: str, c: float = 10.0) -> DataFrame:
+    """Out-of-fold scores of several models, one for each named set of features: every row once a ``model``.
 
-    The models of all groups and folds are fitted together: every row goes into the sums of the folds that are not its
-    own, so a Newton step is one pass however many folds there are.  Rows without a fold are left out.
+    The models of all groups, folds and sets are fitted together: every row goes into the sums of the folds that are not
+    its own, so a Newton step is one pass however many models there are.  A feature outside a set counts as 0 there, and
+    its weight stays 0.  Rows without a fold are left out; a row without a value of a model's feature has no score there.
     """
     names = sorted(r[0] for r in df.select(fold).distinct().collect() if r[0] is not None)  # the folds
     if not names:
-        return df.withColumn("score", F.lit(None).cast("double")).limit(0)
-    model = lambda held: F.struct(F.col(by).alias("group"), held.alias("held"))
-    slim = cut_lineage(df.filter(F.col(fold).isNotNull()).select(by, fold, *features, label))
+        return df.withColumn("model", F.lit(None).cast("string")).withColumn("score", F.lit(None).cast("double")).limit(0)
+    every = list(dict.fromkeys(f for s in sets.values() for f in s))
+    masked = [f"__f{i}" for i in range(len(every))]
+
+    def by_model(d: DataFrame) -> DataFrame:
+        d = d.withColumn("model", F.explode(F.array(*map(F.lit, sets))))
+        used = [F.col("model").isin(*(n for n, s in sets.items() if f in s)) for f in every]
+        return d.select("*", *(F.when(u, F.col(f).cast("double")).otherwise(0.0).alias(m) for u, f, m in zip(used, every, masked)))
+
+    fit_of = lambda held: F.to_json(F.struct(F.col(by).alias("group"), F.col("model").alias("model"), held.alias("held")))
+    folded = df.filter(F.col(fold).isNotNull())
+    slim = cut_lineage(folded.select(by, fold, *every, label))
     held = F.explode(F.filter(F.array(*map(F.lit, names)), lambda f: f != F.col(fold)))
-    train = slim.withColumn("__held", held).withColumn("__model", F.to_json(model(F.col("__held"))))
-    fitted = fit_logistic_by_group(train, "__model", features, label, c)
-    return score_logistic(df.filter(F.col(fold).isNotNull()).withColumn("__model", F.to_json(model(F.col(fold)))), fitted, "__model", features).drop("__model")
+    train = by_model(slim).withColumn("__held", held).withColumn("__fit", fit_of(F.col("__held")))
+    fitted = fit_logistic_by_group(train, "__fit", masked, label, c)
+    return score_logistic(by_model(folded).withColumn("__fit", fit_of(F.col(fold))), fitted, "__fit", masked).drop("__fit", *masked)
 
 
 def group_metrics(scored: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
@@ -88,38 +106,73 @@ def group_metrics(scored: DataFrame, by: list[str], score: str, label: str) -> D
     return evaluate.roc_auc(scored, by, F.col(score), positive).join(ap, by)
 
 
-def fold_metrics(scored: DataFrame, by: str, fold: str, score: str, label: str) -> DataFrame:
+def fold_metrics(scored: DataFrame, by: list[str], fold: str, score: str, label: str) -> DataFrame:
     """(by, n_folds, mean_auc, mean_ap) over the folds that have both classes, 0 where none has."""
-    m = group_metrics(scored, [by, fold], score, label)
-    return m.groupBy(by).agg(F.count("auc").alias("n_folds"), F.coalesce(F.avg("auc"), F.lit(0.0)).alias("mean_auc"), F.coalesce(F.avg(F.when(F.col("auc").isNotNull(), F.col("average_precision"))), F.lit(0.0)).alias("mean_ap"))
+    m = group_metrics(scored, [*by, fold], score, label)
+    return m.groupBy(*by).agg(F.count("auc").alias("n_folds"), F.coalesce(F.avg("auc"), F.lit(0.0)).alias("mean_auc"), F.coalesce(F.avg(F.when(F.col("auc").isNotNull(), F.col("average_precision"))), F.lit(0.0)).alias("mean_ap"))
 
 
-def fit_stacked(df: DataFrame, features_3d: list[str], features_2d: list[str], label: str, iterations: int = 20, seed: int = 1):
-    """Boosted trees per modality with three-fold out-of-fold probabilities, and a logistic regression over both.
+@dataclass(frozen=True)
+class Stacked:
+    """Trees of either modality and the logistic regression over their probabilities, or (without trees) over all features."""
 
-    Returns (3D model, 2D model, coefficients frame).  Parity with the reference is at the level of metrics: its trees
-    grow leaf by leaf, these level by level.
-    """
-    from pyspark.ml.classification import GBTClassifier
+    features_3d: list[str]
+    features_2d: list[str]
+    trees_3d: object | None
+    trees_2d: object | None
+    coefficients: DataFrame
+
+
+def _probability(trees, df: DataFrame, features: list[str], out: str) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    d = df.withColumn("__fold", F.pmod(F.xxhash64(*features_3d, *features_2d, F.lit(seed)), F.lit(3)))
+    x = VectorAssembler(inputCols=features, outputCol="__x").transform(df)
+    return trees.transform(x).withColumn(out, vector_to_array("probability")[1]).drop("__x", "rawPrediction", "probability", "prediction")
 
-    def model(frame: DataFrame, features: list[str]):
-        x = VectorAssembler(inputCols=features, outputCol="__x").transform(frame)
-        return GBTClassifier(featuresCol="__x", labelCol=label, stepSize=0.05, maxIter=iterations, maxDepth=5, minInstancesPerNode=20, seed=seed).fit(x)
 
-    def predict(m, frame: DataFrame, features: list[str], out: str) -> DataFrame:
+def fit_stacked(df: DataFrame, row: str, features_3d: list[str], features_2d: list[str], label: str, iterations: int = 300, least_rows: int = 40) -> Stacked:
+    """Boosted trees per modality with three-fold out-of-fold probabilities, and a logistic regression over both.
+
+    Classes are balanced by weights everywhere; the folds hold equal shares of either class, dealt in a fixed shuffle of
+    ``row``, which tells the rows apart.  With fewer than ``least_rows`` rows or one class only there are no trees: the
+    logistic regression takes the features themselves.  Rows with a NULL feature or label are left out.  Agreement with
+    leaf-wise trees is at the level of metrics, as these grow level by level (depth 5, at least 20 rows a leaf).
+    """
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    both = [*features_3d, *features_2d]
+    d = df.select(row, *both, F.col(label).cast("int").alias("__y")).dropna()
+    n, positive = d.agg(F.count(F.lit(1)), F.coalesce(F.sum("__y"), F.lit(0))).first()
+    d = d.withColumn("__all", F.lit(1))
+    if n < least_rows or not 0 < positive < n:
+        return Stacked(features_3d, features_2d, None, None, fit_logistic_by_group(d, "__all", both, "__y"))
+    folds = stratified_folds(d, row, "__y", 3).select(row, F.col("fold").alias("__fold"))
+    weight = F.when(F.col("__y") == 1, n / (2 * positive)).otherwise(n / (2 * (n - positive)))
+    d = cut_lineage(d.join(folds, row).withColumn("__weight", weight))
+
+    def fit(frame: DataFrame, features: list[str]):
         x = VectorAssembler(inputCols=features, outputCol="__x").transform(frame)
-        return m.transform(x).withColumn(out, vector_to_array("probability")[1]).drop("__x", "rawPrediction", "probability", "prediction")
+        return GBTClassifier(featuresCol="__x", labelCol="__y", weightCol="__weight", stepSize=0.05, maxIter=iterations, maxDepth=5, minInstancesPerNode=20, checkpointInterval=10, seed=42).fit(x)
 
-    parts = []
-    for f in range(3):
+    parts = None
+    for f in (1, 2, 3):
         rest, held = d.filter(F.col("__fold") != f), d.filter(F.col("__fold") == f)
-        parts.append(predict(model(rest, features_2d), predict(model(rest, features_3d), held, features_3d, "p_3d"), features_2d, "p_2d"))
-    oof = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("__all", F.lit(1))
-    return model(d, features_3d), model(d, features_2d), fit_logistic_by_group(oof, "__all", ["p_3d", "p_2d"], label)
+        p = _probability(fit(rest, features_2d), _probability(fit(rest, features_3d), held, features_3d, "p_3d"), features_2d, "p_2d")
+        parts = p if parts is None else parts.unionByName(p)
+    meta = fit_logistic_by_group(cut_lineage(parts.select("__all", "p_3d", "p_2d", "__y")), "__all", ["p_3d", "p_2d"], "__y")
+    return Stacked(features_3d, features_2d, fit(d, features_3d), fit(d, features_2d), meta)
+
+
+def score_stacked(df: DataFrame, model: Stacked, out: str = "score") -> DataFrame:
+    """Adds the probability of each row under the stack; rows with a NULL feature are left out where it has trees."""
+    both = [*model.features_3d, *model.features_2d]
+    if model.trees_3d is None:
+        return score_logistic(df.withColumn("__all", F.lit(1)), model.coefficients, "__all", both, out).drop("__all")
+    d = _probability(model.trees_3d, df.dropna(subset=both).withColumn("__all", F.lit(1)), model.features_3d, "__p3")
+    d = _probability(model.trees_2d, d, model.features_2d, "__p2")
+    return score_logistic(d, model.coefficients, "__all", ["__p3", "__p2"], out).drop("__all", "__p3", "__p2")
 
 
 def to_raw_space(coefficients: DataFrame, means: list[float], scales: list[float]) -> DataFrame:
@@ -149,5 +202,18 @@ def smooth_coefficients(coefficients: DataFrame, by: str, value: str, low: int =
     return pairs.groupBy("bin").agg(F.sum(w * F.col("v")).alias("s"), F.sum(w * F.col("n")).alias("w"), near.alias("nearest")).select("bin", F.coalesce(F.col("s") / F.col("w"), F.col("nearest")).alias("smoothed"))
 
 
+def coefficients_json(coefficients: DataFrame, by: str) -> DataFrame:
+    """One row ``value``: a JSON object of each bin's [intercept, weights...]; rows without a bin are left out."""
+    entry = F.struct(F.col(by).cast("string").alias("key"), F.concat(F.array("intercept"), F.col("weights")).alias("value"))
+    whole = coefficients.filter(F.col(by).isNotNull()).groupBy().agg(F.sort_array(F.collect_list(entry)).alias("e"))  # a row a bin
+    return whole.select(F.to_json(F.map_from_entries("e")).alias("value"))
+
+
+def coefficients_of_json(text: DataFrame, by: str, column: str = "value") -> DataFrame:
+    """(by, intercept, weights) of such a JSON object; the bin comes out as text."""
+    e = text.select(F.explode(F.from_json(column, "map<string, array<double>>")).alias(by, "__v"))
+    return e.select(by, F.col("__v")[0].alias("intercept"), F.slice("__v", 2, F.greatest(F.size("__v") - 1, F.lit(0))).alias("weights"))
+
+
 def mean_over_folds(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.coalesce(F.avg(value), F.lit(0.0)).alias(f"mean_{value}"))

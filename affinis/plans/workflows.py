@@ -221,13 +221,10 @@ def baseline_auc(spark, sf_dir):
 @query()
 def cv_train_test(spark, sf_dir):
     """Per bin the mean over folds of the AUC and average precision of the model and of the models of one similarity."""
-    d = _trained(spark, sf_dir)
-    out = None
-    for name, features in (("both", ["max_sim_3d", "max_sim_2d"]), ("only_3d", ["max_sim_3d"]), ("only_2d", ["max_sim_2d"])):
-        scored = models.cross_validate(d, "size_bin", "fold", features, "y")
-        m = models.fold_metrics(scored, "size_bin", "fold", "score", "y").withColumn("model", F.lit(name))
-        out = m if out is None else out.unionByName(m)
-    return out.select("size_bin", "model", "n_folds", _r("mean_auc"), _r("mean_ap"))
+    sets = {"both": ["max_sim_3d", "max_sim_2d"], "only_3d": ["max_sim_3d"], "only_2d": ["max_sim_2d"]}
+    scored = models.cross_validate_models(_trained(spark, sf_dir), "size_bin", "fold", sets, "y")
+    m = models.fold_metrics(scored, ["size_bin", "model"], "fold", "score", "y")
+    return m.select("size_bin", "model", "n_folds", _r("mean_auc"), _r("mean_ap"))
 
 
 @query()
@@ -239,6 +236,33 @@ def later_metrics(spark, sf_dir):
     return models.group_metrics(scored, ["size_bin"], "score", "y").filter("auc IS NOT NULL").select("size_bin", "n_pos", "n_neg", _r("auc"), _r("average_precision"))
 
 
+@query()
+def stacked_later(spark, sf_dir):
+    """The stacked model of the earlier deliveries, judged on the last one; ten rounds of trees instead of the default 300."""
+    d = _trained(spark, sf_dir)
+    fitted = models.fit_stacked(d.filter("batch_no < 5"), "prediction_id", ["max_sim_3d"], ["max_sim_2d"], "y", iterations=10)
+    scored = models.score_stacked(d.filter("batch_no >= 5").withColumn("model", F.lit("stacked")), fitted)
+    return models.group_metrics(scored, ["model"], "score", "y").select("model", "n_pos", "n_neg", _r("auc"), _r("average_precision"))
+
+
+@query("SELECT DISTINCT ha_bin::VARCHAR AS ha_bin, ha_bin / 10 AS intercept, 2 AS n_weights, ha_bin * 2 - 1 AS sum_weights FROM final_training_meta WHERE ha_bin IS NOT NULL")
+def coefficients_read_back(spark, sf_dir):
+    """A coefficient table through its JSON form and back."""
+    b = table(spark, sf_dir, "final_training_meta").select("ha_bin").distinct()
+    t = b.select("ha_bin", (F.col("ha_bin") / 10).alias("intercept"), F.array((F.col("ha_bin") * 2).cast("double"), F.lit(-1.0)).alias("weights"))
+    back = models.coefficients_of_json(models.coefficients_json(t, "ha_bin"), "ha_bin")
+    return back.select("ha_bin", "intercept", F.size("weights").alias("n_weights"), (F.col("weights")[0] + F.col("weights")[1]).alias("sum_weights"))
+
+
+@query("""SELECT size_bin, coalesce(try_cast(replace(trim(size_bin), '_', '?') AS DOUBLE), -1) AS number, count(*) AS n FROM p4_0_generate_cv_predictions GROUP BY 1, 2
+UNION ALL SELECT source_version, coalesce(try_cast(replace(trim(source_version), '_', '?') AS DOUBLE), -1), count(*) FROM final_training_meta GROUP BY 1, 2""")
+def coerced_numbers(spark, sf_dir):
+    """Texts as numbers where they are any, else -1."""
+    parts = [table(spark, sf_dir, t).select(F.col(k).alias("size_bin")) for t, k in (("p4_0_generate_cv_predictions", "size_bin"), ("final_training_meta", "source_version"))]
+    counted = [d.groupBy("size_bin", bins.number(F.col("size_bin"), -1.0).alias("number")).agg(F.count(F.lit(1)).alias("n")) for d in parts]
+    return counted[0].unionByName(counted[1])
+
+
 @query(f"""WITH {c._SIM_SQL}, best AS (SELECT query_id, own, target, max(raw_2d + raw_3d) AS score FROM raw WHERE query_id % 10 >= 8 AND active_id % 10 < 8 AND qs <> s GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, target) AS rank FROM best),
 q AS (SELECT query_id, min(rank) FILTER (own = target AND rank <= 15) AS best FROM r GROUP BY 1)

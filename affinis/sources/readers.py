@@ -87,6 +87,38 @@ def read_memmap(spark: SparkSession, path: str, width: int, dtype: str = "int64"
     return spark.range(0, n).mapInPandas(rows, schema)
 
 
+def write_memmap(df: DataFrame, index: str, values: str, path: str, width: int, dtype: str = "int64") -> int:
+    """Writes rows as a raw binary matrix, each at the place of its index; returns the number of rows.
+
+    Indices must be 0..n-1, each once, and every row ``width`` numbers long, or ValueError is raised.  The file is made
+    beside ``path``, which all workers must share, and renamed when it is whole; tasks write their own rows, so one that
+    runs again writes the same bytes.
+    """
+    import os
+
+    d = df.select(F.col(index).cast("long").alias("i"), F.col(values).alias("v"))
+    short = F.count_if(F.col("v").isNull() | (F.size("v") != width) | F.exists("v", lambda x: x.isNull()))
+    n, different, low, high, bad = d.agg(F.count(F.lit(1)), F.count_distinct("i"), F.min("i"), F.max("i"), short).first()
+    if bad or different != n or n and (low, high) != (0, n - 1):
+        raise ValueError(f"{path}: indices must be 0..{n - 1}, each once, with {width} numbers a row")
+    row, unfinished = np.dtype(dtype).itemsize * width, f"{path}.{uuid.uuid4().hex}"
+    with open(unfinished, "wb") as f:
+        f.truncate(n * row)
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with open(unfinished, "r+b") as f:
+            for part in frames:
+                for i, v in zip(part["i"], part["v"]):
+                    f.seek(int(i) * row)
+                    f.write(np.asarray(v).astype(dtype).tobytes())
+                yield pd.DataFrame({"n": [len(part)]})
+
+    placed = d.repartitionByRange(F.col("i")).sortWithinPartitions("i")
+    placed.mapInPandas(rows, "n long").agg(F.sum("n")).collect()
+    os.replace(unfinished, path)
+    return n
+
+
 def unpadded(values: Column, width: int) -> Column:
     """The rows of a flattened, NaN-padded matrix, without the padding."""
     rows = F.transform(F.sequence(F.lit(0), (F.size(values) / width).cast("int") - 1), lambda i: F.slice(values, i * width + 1, width))

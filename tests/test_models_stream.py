@@ -8,14 +8,49 @@ from affinis.plans import catalog
 from affinis.streaming.scoring import score_arrivals
 
 
-def test_stacked_model_ranks(spark):
+def stack_rows(spark, n):
     rng = np.random.default_rng(3)
-    x = rng.random((600, 2))
-    y = (x[:, 0] + x[:, 1] + rng.normal(0, 0.2, 600) > 1).astype(int)
-    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "a double, b double, y int").coalesce(2)
-    m3, m2, c = models.fit_stacked(df, ["a"], ["b"], "y", iterations=3)
-    r = c.first()
-    assert m3.numFeatures == m2.numFeatures == 1 and r["fitted"] and min(r["weights"]) > 0
+    x = rng.random((n, 2))
+    y = (x[:, 0] + x[:, 1] + rng.normal(0, 0.2, n) > 1).astype(int)
+    return spark.createDataFrame([(i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y))], "id long, a double, b double, y int").coalesce(2)
+
+
+def test_stacked_model_ranks(spark):
+    df = stack_rows(spark, 600)
+    m = models.fit_stacked(df, "id", ["a"], ["b"], "y", iterations=3)
+    r = m.coefficients.first()
+    assert m.trees_3d.numFeatures == m.trees_2d.numFeatures == 1 and r["fitted"] and min(r["weights"]) > 0
+    scored = models.score_stacked(df.unionByName(spark.createDataFrame([(-1, None, 0.5, 1)], df.schema)), m)
+    assert scored.count() == 600 and evaluate.roc_auc(scored, [], F.col("score"), F.col("y") == 1).first()["auc"] > 0.9
+
+
+@pytest.mark.parametrize("case", ["few rows", "one class", "no rows"])
+def test_stack_without_trees(spark, case):
+    df = {"few rows": stack_rows(spark, 39), "one class": stack_rows(spark, 200).withColumn("y", F.lit(1)), "no rows": stack_rows(spark, 20).limit(0)}[case]
+    m = models.fit_stacked(df, "id", ["a"], ["b"], "y", iterations=3)
+    assert m.trees_3d is None and m.trees_2d is None
+    scored = models.score_stacked(df, m).collect()
+    if case == "few rows":
+        assert m.coefficients.first()["fitted"] and len(scored) == 39 and all(0 < r["score"] < 1 for r in scored)
+    if case == "one class":
+        assert not m.coefficients.first()["fitted"]
+
+
+def test_models_fitted_together_are_those_fitted_alone(spark):
+    df = stack_rows(spark, 300).select("*", (F.col("id") % 3).cast("int").alias("fold"), F.lit("g").alias("g"))
+    sets = {"both": ["a", "b"], "only a": ["a"], "only b": ["b"]}
+    joint = {(r["model"], r["id"]): r["score"] for r in models.cross_validate_models(df, "g", "fold", sets, "y").collect()}
+    assert len(joint) == 900
+    for name, features in sets.items():
+        for r in models.cross_validate(df, "g", "fold", features, "y").collect():
+            assert abs(joint[name, r["id"]] - r["score"]) < 1e-7
+
+
+def test_coefficients_as_json(spark):
+    df = spark.createDataFrame([(10, -1.5, [2.0, 3.0]), (11, 0.0, [0.25, 1e-9]), (None, 1.0, [1.0])], "ha_bin int, intercept double, weights array<double>")
+    back = models.coefficients_of_json(models.coefficients_json(df, "ha_bin"), "ha_bin").collect()
+    assert sorted(tuple(r) for r in back) == [("10", -1.5, [2.0, 3.0]), ("11", 0.0, [0.25, 1e-9])]
+    assert models.coefficients_of_json(models.coefficients_json(df.limit(0), "ha_bin"), "ha_bin").count() == 0
 
 
 def test_out_of_fold_scores(spark):

@@ -15,6 +15,20 @@ def test_memmap(spark, tmp_path):
         R.read_memmap(spark, str(tmp_path / "x.bin"), 7, "uint64")
 
 
+def test_memmap_written_and_read(spark, tmp_path):
+    m = np.random.default_rng(1).integers(-9, 9, (57, 4))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "i long, v array<long>").orderBy(F.rand(2)).repartition(5)
+    path = str(tmp_path / "m.bin")
+    assert R.write_memmap(df, "i", "v", path, 4) == 57
+    assert (np.fromfile(path, np.int64).reshape(-1, 4) == m).all()
+    assert {r["memmap_idx"]: list(r["values"]) for r in R.read_memmap(spark, path, 4).collect()} == dict(enumerate(m.tolist()))
+    assert R.write_memmap(df.limit(0), "i", "v", str(tmp_path / "none.bin"), 4) == 0
+    for bad in (df.filter("i <> 3"), df.unionByName(df.limit(1)), df.withColumn("v", F.slice("v", 1, 3)), df.withColumn("v", F.lit(None).cast("array<long>"))):
+        with pytest.raises(ValueError, match="each once"):
+            R.write_memmap(bad, "i", "v", path, 4)
+    assert [p.name for p in sorted(tmp_path.iterdir())] == ["m.bin", "none.bin"]
+
+
 def test_publish(spark, tmp_path):
     root = str(tmp_path / "t")
     R.publish_parquet(spark.range(3), root)
