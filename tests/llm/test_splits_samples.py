@@ -58,6 +58,17 @@ def test_shares_improve_and_repeat(spark):
     assert {(x["component"], x["split"]) for x in a.collect()} == {(x["component"], x["split"]) for x in again.collect()}
 
 
+def test_annealing_ends_within_a_component():
+    rng = np.random.default_rng(2)
+    size = np.c_[rng.integers(1, 15, 9000), rng.integers(0, 2, 9000)].astype(float)
+    share = np.array([0.1, 0.8, 0.1])
+    want = share[:, None] * size.sum(axis=0)[None, :]
+    at, left = splits._anneal(size, rng.choice(3, 9000, p=share), want, 5, 10)
+    have = np.zeros_like(want)
+    np.add.at(have, at, size)
+    assert (np.abs(have - want) <= size.max(axis=0)).all() and abs(splits._deviation(have, want) - left) < 1e-9
+
+
 def test_splits_of_nothing(spark):
     a = splits.assign_splits(parts(spark, []), SHARES)
     assert a.count() == 0
