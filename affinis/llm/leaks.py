@@ -88,14 +88,14 @@ def _back(b: np.ndarray, start: np.ndarray, end: np.ndarray, idf: np.ndarray, y:
 
 
 def _normalised(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, w): the word numbers of every text that is not NULL."""
+    """(key, w): the word numbers of every text that is not NULL; the key as text, as pandas would round large numbers beside a NULL."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in frames:
             yield pd.DataFrame({"key": d["key"], "w": _numbers(d["text"])})
 
-    schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("w", T.ArrayType(T.LongType()))])
-    slim = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).filter("text IS NOT NULL")
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("w", T.ArrayType(T.LongType()))])
+    slim = df.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text")).filter("text IS NOT NULL")
     return spread(slim, "key", "text").mapInPandas(run, schema)
 
 
@@ -182,7 +182,7 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     """
     spark = docs.sparkSession
     schema = T.StructType(
-        [T.StructField(key, docs.schema[key].dataType), T.StructField(item_key, items.schema[item_key].dataType)]
+        [T.StructField("key", T.StringType()), T.StructField("item_key", T.StringType())]
         + [T.StructField(c, T.IntegerType()) for c in ("words", "edits", "lcs")]
         + [T.StructField("cosine", T.FloatType()), T.StructField("answer", T.BooleanType()), T.StructField("paraphrase", T.BooleanType())]
     )
@@ -219,7 +219,9 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
 
         return texts.mapInPandas(run, schema)
 
-    return reduce(DataFrame.unionByName, [search(i) for i in range(parts)])
+    found = reduce(DataFrame.unionByName, [search(i) for i in range(parts)])
+    back = [F.col("key").cast(docs.schema[key].dataType).alias(key), F.col("item_key").cast(items.schema[item_key].dataType).alias(item_key)]
+    return found.select(*back, *schema.names[2:])
 
 
 def _near(body: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, z: list[np.ndarray], owner: np.ndarray) -> list[tuple[int, int, float, int, int]]:

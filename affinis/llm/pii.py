@@ -206,7 +206,8 @@ def find_pii(df: DataFrame, key: str, text: str, weights: dict[str, np.ndarray]
     cores can use; the weights (a hundred kilobytes) are broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(weights or load())
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("masked", T.StringType()), T.StructField("pieces", _PIECES)])
+    # keys travel as text: pandas would round large numbers in a batch with a NULL key
+    schema = T.StructType([T.StructField("__key", T.StringType()), T.StructField("masked", T.StringType()), T.StructField("pieces", _PIECES)])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in frames:
@@ -215,7 +216,8 @@ def find_pii(df: DataFrame, key: str, text: str, weights: dict[str, np.ndarray]
                 texts = [t if t is not None and t == t else None for t in part["__text"]]
                 spans = tag_texts(shared.value, [t or "" for t in texts])
                 pieces = [checked(t, s) if t else [] for t, s in zip(texts, spans)]
-                yield pd.DataFrame({key: part[key].to_numpy(), "masked": [None if t is None else masked(t, x) for t, x in zip(texts, pieces)], "pieces": pieces})
+                yield pd.DataFrame({"__key": part["__key"].to_numpy(object), "masked": [None if t is None else masked(t, x) for t, x in zip(texts, pieces)], "pieces": pieces})
 
-    slim = df.select(F.col(key), F.col(text).cast("string").alias("__text"))
-    return spread(slim, key, "__text").mapInPandas(run, schema)
+    slim = df.select(F.col(key).cast("string").alias("__key"), F.col(text).cast("string").alias("__text"))
+    found = spread(slim, "__key", "__text").mapInPandas(run, schema)
+    return found.select(F.col("__key").cast(df.schema[key].dataType).alias(key), "masked", "pieces")

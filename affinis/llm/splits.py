@@ -26,8 +26,8 @@ ROUNDS = 2
 def components(df: DataFrame, key: Column, row: Column, label: Column, fold: Column, folds: tuple[int, int] = (1, 10)) -> DataFrame:
     """One row per component: ``component``, ``n_rows``, ``n_label`` (rows with the label), ``fold_low``, ``fold_high``.
 
-    A component is all rows of one key; a row with a NULL key is a component of its own, named by ``row``.  Folds
-    outside ``folds`` do not count.
+    A component is all rows of one key; a row with a NULL key is a component of its own, named by ``row``, and rows with
+    neither are one component.  Folds outside ``folds`` do not count.
     """
     valid = F.when(fold.between(*folds), fold)
     return (
@@ -178,13 +178,14 @@ def split_report(assigned: DataFrame, shares: dict[str, float]) -> DataFrame:
 
 
 def component_name(key: Column, row: Column) -> Column:
-    """The component of a row: its key, or the row itself where the key is NULL."""
-    return F.coalesce(F.concat(F.lit("k:"), key), F.concat(F.lit("r:"), row.cast("string")))
+    """The component of a row: its key, or the row itself where the key is NULL; never NULL."""
+    return F.coalesce(F.concat(F.lit("k:"), key), F.concat(F.lit("r:"), F.coalesce(row.cast("string"), F.lit(""))))
 
 
 def split_rows(df: DataFrame, key: Column, row: Column, assigned: DataFrame) -> DataFrame:
-    """The rows with ``component`` and ``split``, as the assignment of their component says."""
-    return df.withColumn("component", component_name(key, row)).join(assigned.select("component", "split"), "component")
+    """The rows with ``component`` and ``split``, as the assignment of their component says; columns of these names are replaced."""
+    named = df.withColumn("component", component_name(key, row)).drop("split")
+    return named.join(assigned.select("component", "split"), "component")
 
 
 def mixed_folds(rows: DataFrame, fold: Column, folds: tuple[int, int] = (1, 10)) -> DataFrame:
