@@ -91,12 +91,21 @@ def _common(kind, value, units, comment, weight) -> float | None:
     return value * unit.factor if field != "time" or unit.dimension == TIME else None
 
 
-@F.pandas_udf(T.DoubleType())
-def _to_base(kind: pd.Series, value: pd.Series, units: pd.Series, comment: pd.Series, weight: pd.Series) -> pd.Series:
+def _rounded(kind, value, units, comment, weight) -> int | None:
+    """The value in pM or s as the nearest whole number; None beyond the range of a long."""
+    base = _common(kind, value, units, comment, weight)
+    if base is None:
+        return None
+    scaled = math.floor(min(base * (1.0 if _kind(kind)[0] == "time" else 1e12), 1e19) + 0.5)
+    return scaled if scaled < 9_000_000_000_000_000_000 else None
+
+
+@F.pandas_udf(T.LongType())
+def _to_common(kind: pd.Series, value: pd.Series, units: pd.Series, comment: pd.Series, weight: pd.Series) -> pd.Series:
     none = lambda x: None if x is None or x != x else x
     return pd.Series(
-        [_common(k, none(v), none(u), none(c), none(w)) if k is not None else None for k, v, u, c, w in zip(kind, value, units, comment, weight)],
-        dtype="float64",
+        [_rounded(k, none(v), none(u), none(c), none(w)) if k is not None else None for k, v, u, c, w in zip(kind, value, units, comment, weight)],
+        dtype="Int64",
     )
 
 
@@ -122,15 +131,9 @@ def common_units(
     mine = is_time | F.col(kind).rlike(CONCENTRATION_TYPE)
     # rows of another kind go to Python as NULLs, which cost next to nothing; so the table is read once
     told = lambda c: F.when(mine, F.col(c).cast("double") if c in (value, weight) else F.col(c))
-    base = _to_base(*map(told, (kind, value, units, comment, weight)))
-    scaled = F.floor(F.when(is_time, F.col("__base")).otherwise(F.col("__base") * F.lit(1e12)) + 0.5)
-    out = df.withColumn("__base", base)
-    ok = scaled.isNotNull() & (scaled < 9e18)
-    return (
-        out.withColumn(unit_column, F.when(ok, F.when(is_time, "s").otherwise("pM")))
-        .withColumn(value_column, F.when(ok, scaled).cast("long"))
-        .drop("__base")
-    )
+    # said to be nondeterministic, so that a filter on the result reads it instead of having it computed a second time
+    told_value = _to_common.asNondeterministic()(*map(told, (kind, value, units, comment, weight)))
+    return df.withColumn(value_column, told_value).withColumn(unit_column, F.when(F.col(value_column).isNotNull(), F.when(is_time, "s").otherwise("pM")))
 
 
 def converted_elsewhere(df: DataFrame) -> DataFrame:
